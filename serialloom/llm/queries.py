@@ -13,6 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import ODD_TEXT, chat_digest, format_chats
+
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digest(format_chats(turns.unionByName(odd)))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))["documents"]
+
+
 def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hmm import score_corpus
 
@@ -20,9 +34,11 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op10_hmm_scores,)}
+    found = {f.__name__: f for f in (op6_chat_formatting, op7_source_mixing, op10_hmm_scores)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import chat
+
+    return {"op6_chat_formatting": chat.SQL}
