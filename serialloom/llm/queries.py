@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -13,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    done = dedup_substrings(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_intervals"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import ODD_TEXT, chat_digest, format_chats
 
@@ -34,11 +42,11 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op6_chat_formatting, op7_source_mixing, op10_hmm_scores)}
+    found = {f.__name__: f for f in (op2_substring_dedup, op6_chat_formatting, op7_source_mixing, op10_hmm_scores)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat
+    from . import chat, substrings
 
-    return {"op6_chat_formatting": chat.SQL}
+    return {"op2_substring_dedup": substrings.SQL, "op6_chat_formatting": chat.SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +77,17 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def text_of(self, i: int, stay: np.ndarray | None = None) -> str:
+        """Text i's words (those that ``stay``) joined by a space."""
+        a, z = self.starts[self.at[i] : self.at[i + 1]], self.lens[self.at[i] : self.at[i + 1]]
+        if not len(a):
+            return ""
+        raw = self.buf[a[0] : a[-1] + z[-1]].tobytes()
+        words = raw.split()
+        if stay is not None and not stay.all():
+            words = list(itertools.compress(words, stay.tolist()))
+        return b" ".join(words).decode("utf-8", "replace")
+
     def lanes(self) -> np.ndarray:
         """The first eight bytes of every word as a little-endian number, what lies beyond the word masked off."""
         return self._lane(self.starts, self.lens)
