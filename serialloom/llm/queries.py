@@ -21,6 +21,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_intervals"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import ODD_TEXT, chat_digest, format_chats
 
@@ -42,7 +49,7 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op2_substring_dedup, op6_chat_formatting, op7_source_mixing, op10_hmm_scores)}
+    found = {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op6_chat_formatting, op7_source_mixing, op10_hmm_scores)}
     return found
 
 
