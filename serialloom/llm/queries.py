@@ -28,6 +28,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import ODD_TEXT, chat_digest, format_chats
 
@@ -49,11 +63,11 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op6_chat_formatting, op7_source_mixing, op10_hmm_scores)}
+    found = {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_benchmark_decontamination, op6_chat_formatting, op7_source_mixing, op10_hmm_scores)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, substrings
+    from . import chat, decontam, substrings
 
-    return {"op2_substring_dedup": substrings.SQL, "op6_chat_formatting": chat.SQL}
+    return {"op2_substring_dedup": substrings.SQL, "op4_benchmark_decontamination": decontam.SQL, "op6_chat_formatting": chat.SQL}
