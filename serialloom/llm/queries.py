@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import dedup_substrings
 
@@ -56,6 +62,22 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))["documents"]
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    read = round_trip(table(spark, sf_dir, "pages")).filter("kind = 'record'")
+    h = lambda name: F.col("headers")[name]
+    page = lambda name: F.regexp_extract(h(name), r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
+    revisit = h("WARC-Type") == "revisit"
+    return read.select(
+        page("WARC-Record-ID").alias("page_id"),
+        F.when(revisit, h("X-Payload-Length").cast("long")).otherwise(F.length("payload")).cast("long").alias("payload_bytes"),
+        F.when(revisit, F.substring_index(h("WARC-Payload-Digest"), ":", -1)).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        h("WARC-Type").alias("record_type"),
+        F.when(revisit, page("WARC-Refers-To")).alias("refers_to"),
+    )
+
+
 def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hmm import score_corpus
 
@@ -63,11 +85,11 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_benchmark_decontamination, op6_chat_formatting, op7_source_mixing, op10_hmm_scores)}
+    found = {f.__name__: f for f in (op1_multi_index_hashing, op2_substring_dedup, op3_simhash_near_dedup, op4_benchmark_decontamination, op6_chat_formatting, op7_source_mixing, op9_warc_round_trip, op10_hmm_scores)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, decontam, substrings
+    from . import chat, decontam, substrings, warc
 
-    return {"op2_substring_dedup": substrings.SQL, "op4_benchmark_decontamination": decontam.SQL, "op6_chat_formatting": chat.SQL}
+    return {"op2_substring_dedup": substrings.SQL, "op4_benchmark_decontamination": decontam.SQL, "op6_chat_formatting": chat.SQL, "op9_warc_round_trip": warc.SQL}
