@@ -48,6 +48,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import ODD_TEXT, chat_digest, format_chats
 
@@ -85,7 +92,7 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op1_multi_index_hashing, op2_substring_dedup, op3_simhash_near_dedup, op4_benchmark_decontamination, op6_chat_formatting, op7_source_mixing, op9_warc_round_trip, op10_hmm_scores)}
+    found = {f.__name__: f for f in (op1_multi_index_hashing, op2_substring_dedup, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_source_mixing, op9_warc_round_trip, op10_hmm_scores)}
     return found
 
 
