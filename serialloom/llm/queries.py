@@ -69,6 +69,14 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))["documents"]
 
 
+def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = score_texts(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted", "toxic_by_lang")
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -92,7 +100,7 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op1_multi_index_hashing, op2_substring_dedup, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_source_mixing, op9_warc_round_trip, op10_hmm_scores)}
+    found = {f.__name__: f for f in (op1_multi_index_hashing, op2_substring_dedup, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_source_mixing, op8_toxicity_cnn, op9_warc_round_trip, op10_hmm_scores)}
     return found
 
 
