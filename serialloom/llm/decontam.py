@@ -78,6 +78,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_grams
     return out.select("doc_id", "n_words", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"] + 1).alias("n_hit"), "items")
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """hit_id: the doc_id of each row that a window of an item occurs in, once."""
+    return decontaminate(docs, benchmark, n).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
+
+
+def remove_spans(words_of: Column, spans: Column) -> Column:
+    """The words outside of these spans."""
+    return F.filter(words_of, lambda w, i: ~F.exists(spans, lambda s: (s["from"] <= i + 1) & (i + 1 <= s["to"])))
+
+
 SQL = r"""
 WITH words AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
