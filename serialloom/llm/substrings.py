@@ -13,8 +13,9 @@ its block; over 10**10 windows, two different ones are taken for equal with
 a chance of less than one in 10**3.
 
 Edge cases: a null text has no words; texts shorter than a window stay as they
-are; a null ``doc_id`` comes before all others; rows that repeat a ``doc_id``
-are taken for the same text, which is judged once and returned for each; an
+are; rows with a null ``doc_id`` come before all others, by a hash of their texts;
+rows that repeat a ``doc_id`` are taken for the same text, which is judged
+once and returned for each; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -28,12 +29,17 @@ from pyspark.sql import functions as F
 from ..session import keep
 from .tokens import Words, mix, pack, pieces, rolling, unpack
 
+#: Rows without an id are documents below all others, told apart by their text.
 NO_ID = -(1 << 63)
 #: Bytes of compressed input for each block of windows.
 _BLOCK_BYTES = 4 << 20
 _SCHEMA = "block int, doc bigint, keys binary, docs binary, at binary"
 
 
+def doc_key(docs: DataFrame):
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)))
+
+
 def _batch(block, doc, keys, docs, at) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(doc, pa.int64()), pa.array(keys, pa.binary()), pa.array(docs, pa.binary()), pa.array(at, pa.binary())], ["block", "doc", "keys", "docs", "at"])
 
@@ -62,8 +68,8 @@ def _firsts(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def removals(docs: DataFrame, width: int, blocks: int) -> DataFrame:
-    """doc (NO_ID for null) and ``at``, the packed starts of windows that repeat an earlier one; many rows for a document."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.col("text").alias("text"))
+    """doc (see doc_key) and ``at``, the packed starts of windows that repeat an earlier one; many rows for a document."""
+    rows = docs.select(doc_key(docs).alias("doc"), F.col("text").alias("text"))
 
     def send(batches):
         for b in pieces(batches):
@@ -145,7 +151,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
     blocks = max(64, docs.rdd.getNumPartitions() * max(1, most // _BLOCK_BYTES))
     lost = keep(removals(docs, width, blocks), "removals")
     lost = lost.groupBy("doc").agg(F.collect_list("at").alias("at"))
-    text = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.col("text").alias("text"))
+    text = docs.select("doc_id", doc_key(docs).alias("doc"), F.col("text").alias("text"))
 
     def cut(batches):
         for b in pieces(batches):
@@ -155,7 +161,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
             for i, at in enumerate(b.column("at").to_pylist()):
                 gone = np.zeros(n[i] + 1, np.int32)
                 starts = np.unique(np.concatenate([np.zeros(0, np.int64), *(unpack(y).astype(np.int64) for y in at)]))
-                a, z = intervals(starts, width)
+                a, z = intervals(starts[starts + width <= n[i]], width)
                 gone[a] += 1
                 gone[z] -= 1
                 stay = np.cumsum(gone[:-1]) == 0
