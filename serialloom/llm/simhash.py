@@ -6,8 +6,10 @@ of that many blocks is a key, and only fingerprints with an equal key meet.
 Distinct fingerprints meet once, whatever the number of texts that have them.
 Keys that more than ``hot`` fingerprints share are split: their members must
 still agree in one of the pieces of their other bits, so these pieces join the
-key, as often as needed. Every group of a key is verified in full, but only a
-spanning forest of its links leaves it.
+key, up to ``levels`` times (each multiplies a fingerprint's rows by the number
+of pieces). Every group of a key is verified in full, in strips, so that it
+needs eight bytes a fingerprint beside a strip's; only a spanning forest of its
+links leaves it.
 
 Edge cases: a null or empty text has fingerprint 0 and is linked like any
 other; a null ``doc_id`` has a fingerprint and takes the component of the
@@ -73,15 +75,16 @@ def _keyed(fp: Column, masks: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), fp.bitwiseAND(F.lit(m).cast("long")).alias("key")) for m in masks])
 
 
-def block_keys(fps: DataFrame, distance: int, blocks: int, hot: int) -> DataFrame:
+def block_keys(fps: DataFrame, distance: int, blocks: int, hot: int, levels: int = 2) -> DataFrame:
     """mask, key, fp, node: a row for each key by which a fingerprint may meet another; keys of a single one are left out."""
     parts = _cuts(list(range(64)), blocks)
     masks = [_mask(sum(c, [])) for c in combinations(parts, blocks - distance)]
     now = fps.select("fp", "node", F.explode(_keyed(F.col("fp"), masks)).alias("k")).select("k.mask", "k.key", "fp", "node")
     done, level = [], {m: [b for b in range(64) if not m >> b & 1] for m in masks}
-    while True:
+    for depth in range(levels + 1):
         counts = keep(now.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
         many = counts.filter(F.col("n") > hot).select("mask").distinct().collect()  # as many as there are masks, at most
+        many = many if depth < levels else []
         some = counts.filter(F.col("n") <= hot) if many else counts
         done.append(now.join(some.select("mask", "key"), ["mask", "key"]))
         if not many:
