@@ -78,7 +78,7 @@ def slots(spark: SparkSession, plan: Sequence[tuple[int, int, int]], shard_slots
     )
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, block: int = 64, shard_slots: int = 16_384, seed: int = 17, bucket_rows: int = 50_000) -> dict[str, DataFrame]:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, block: int = 64, shard_slots: int = 16_384, seed: int = 17, bucket_rows: int = 4_000) -> dict[str, DataFrame]:
     """``documents``: doc_id, size, source_size, target, taken, source; ``slots``: src, slot, shard, block;
     ``pieces``: src, block, row, from_word and n (the words that a document has in a block); ``sources``."""
     spark = docs.sparkSession
@@ -110,6 +110,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
     pieces = pieces.select("src", "block", "row", (begin - F.col("at")).alias("from_word"), (F.least(F.col("block") * block + block, F.col("at") + F.col("size")) - begin).alias("n"))
     drawn = slots(spark, plan, shard_slots, seed)
     used = drawn.groupBy("src", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(used, ["src", "block"]).groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
-    out = own.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    # slots are made up from one row per source, so their size can't be estimated: without the hint they would be broadcast
+    taken = pieces.join(used.hint("merge"), ["src", "block"]).groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    out = own.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
     return {"documents": out, "slots": drawn, "pieces": pieces, "sources": sources}
