@@ -4,7 +4,9 @@ Lines are the parts of a text between line feeds, compared trimmed and in
 lower case; blank lines always stay. Equal lines are found by a 128-bit hash.
 The set that stands for a line holds the hashes of its character shingles: the
 ``chars`` characters from each word's start on (so a shingle spans words, and
-an insertion shifts none of those behind it). The least of these hashes are
+an insertion shifts none of those behind it), and in a word of more than
+``chars`` characters also those from each position behind these on, so that
+every character of a URL, a number or unspaced text is in a shingle. The least of these hashes are
 the line's MinHash sketch, dealt to bins by their last bits; a band is the
 ``rows`` least values of a bin, and lines with an equal band are candidates.
 Lines with few shingles use ``few_bins`` bins, those near the border both. Candidates are verified by
@@ -35,7 +37,7 @@ from .components import connected_components
 
 def shingles(line: Column, chars: int = 9) -> Column:
     """The distinct hashes of a line's shingles, in order."""
-    found = F.regexp_extract_all(line, F.lit(r"(?:^|(?<=\s))(?=(\S.{0,%d}))" % (chars - 1)), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(r"(?s)(?:^|(?<=\s)|(?<=\S{%d}))(?=(\S.{0,%d}))" % (chars, chars - 1)), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
 
 
@@ -117,14 +119,14 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, chars: int = 9, bins:
     lead = first.filter("component IS NOT NULL").groupBy("component").agg(F.min("at").alias("lead"))
     stays = first.join(lead, "component", "left").select("h1", "h2", F.coalesce("lead", "at").alias("stays"))
     gone = seen.select("doc", "th", "pos", "h1", "h2").join(stays, ["h1", "h2"]).filter(~F.struct("doc", "th", "pos").eqNullSafe(F.col("stays")))
-    gone = gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.groupBy(F.col("doc").alias("__of"), F.col("th").alias("__of_th")).agg(F.collect_set("pos").alias("__gone"))
     own = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    met = own.join(gone, own["__doc"].eqNullSafe(gone["doc"]) & (own["__th"] == gone["th"]), "left")
+    met = own.join(gone, F.col("__doc").eqNullSafe(F.col("__of")) & (F.col("__th") == F.col("__of_th")), "left")
     parts = F.split("text", "\n", -1)
     none = F.array().cast("array<int>")
-    stay = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("gone", none), i))
+    stay = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("__gone", none), i))
     return met.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

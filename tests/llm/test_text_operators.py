@@ -207,6 +207,18 @@ def test_line_dedup(spark):
     assert got == sorted(((i, keep(i, t), len(gone.get(i, ())), 5, "g") for i, t in rows), key=repr)
 
 
+def test_lines_that_differ_inside_long_words_stay(spark):
+    pairs = [
+        ("https://www.alpha.org/a/1", "https://www.zebra.net/q/99"),
+        ("2024-01-01T10:00:00Z", "2024-01-02T23:59:59Z"),
+        ("order: 123456789-0001 paid", "order: 123456789-7777 paid"),
+        ("今天天气非常好我们去公园散步然后回家吃饭", "今天天气非常好我们在图书馆里看了一整天书"),
+        ("abc\u2028defghi one", "abc\u2028xyzuvw two"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(x for p in pairs for x in p)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()} == dict.fromkeys(range(2 * len(pairs)), 0)
+
+
 def test_line_dedup_of_nothing(no_docs):
     assert lines.dedup_lines(no_docs).count() == 0
 
