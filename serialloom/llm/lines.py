@@ -14,11 +14,16 @@ the exact Jaccard similarity of their sets, links of at least ``similarity``
 go through the union-find, and of each component the line that comes first (by
 doc_id, then place) is kept.
 
-A band's group is never gathered: its lines are paired with a few anchors of
-the group (its least and greatest line and those of two other orders), which
-are aggregates, summed before they are shuffled. So candidates grow with the
-lines, whatever the size of a group; only between lines that share no anchor
-in any band can a link be missed, as with any banding.
+Every pair of lines that share a band is linked, proved to be less similar, or
+in one component already. The pairs of a group of up to ``whole`` lines are all
+verified. The lines of a larger group are first paired with a few anchors (its
+least and greatest line and those of two other orders), which are aggregates,
+and components are found. What may still link two components is found by an
+exact prefix filter: two sets of similarity t share one of the first
+``n - ceil(t n) + 1`` of their n hashes in any common order, here the rarest
+first, so lines of different components meet by these alone. Where lines share
+such a hash, those of the most frequent component are not paired among
+themselves, and an adaptive join splits a frequent hash.
 
 Edge cases: a null text stays null and has no lines; a null ``doc_id`` comes
 first; rows that repeat both doc_id and text are one document, returned each;
@@ -28,6 +33,8 @@ result; further columns are passed through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,47 +80,93 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def candidates(keyed: DataFrame) -> DataFrame:
-    """a < b (h1 of two lines): pairs that share a band, each with the anchors of its group. keyed: h1 and keys."""
+def candidates(keyed: DataFrame, whole: int = 32) -> tuple[DataFrame, DataFrame]:
+    """a < b (h1 of two lines): pairs that share a band; and h1 of the lines in groups of over ``whole``, which are paired with anchors only. keyed: h1 and keys."""
     banded = keep(keyed.select("h1", F.explode("keys").alias("key")).distinct(), "bands")
     order = lambda c, k: F.xxhash64(F.lit(k), c)
     groups = keep(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("most")).filter("n > 1"), "groups")
-    met = banded.join(groups.filter("n > 2"), "key")
-    met = keep(met, "met")
-    more = met.groupBy("key").agg(F.min(F.struct(order("h1", 1).alias("o"), F.col("h1"))).alias("x"), F.min(F.struct(order("h1", 2).alias("o"), F.col("h1"))).alias("y"))
-    tied = met.join(more, "key").select("h1", F.explode(F.array_distinct(F.array("least", "most", F.col("x.h1"), F.col("y.h1")))).alias("other")).filter("h1 <> other")
-    pairs = groups.filter("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b")).unionByName(tied.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")))
-    out = keep(pairs.distinct(), "pairs")
+    met = keep(banded.join(groups.filter("n > 2"), "key"), "met")
+    few = met.filter(F.col("n") <= whole).groupBy("key").agg(F.collect_list("h1").alias("all"))
+    few = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
+    many = met.filter(F.col("n") > whole)
+    more = many.groupBy("key").agg(F.min(F.struct(order("h1", 1).alias("o"), F.col("h1"))).alias("x"), F.min(F.struct(order("h1", 2).alias("o"), F.col("h1"))).alias("y"))
+    tied = many.join(more, "key").select("h1", F.explode(F.array_distinct(F.array("least", "most", F.col("x.h1"), F.col("y.h1")))).alias("other")).filter("h1 <> other")
+    tied = tied.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b"))
+    pairs = groups.filter("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b")).unionByName(few).unionByName(tied)
+    out, large = keep(pairs.distinct(), "pairs"), keep(many.select("h1").distinct(), "large")
     for x in (banded, groups, met):
         drop_kept(out.sparkSession, x)
+    return out, large
+
+
+def across(sets: DataFrame, same: DataFrame, similarity: float) -> DataFrame:
+    """a and b: every pair of ``sets`` (h1, s) in different components that its sizes and the prefix filter do not rule out, once."""
+    named = sets.join(same, F.col("h1") == F.col("node"), "left").select("h1", "s", F.coalesce("component", "h1").alias("c"))
+    each = keep(named.select("h1", "c", F.size("s").alias("n"), F.explode("s").alias("x")), "hashes")
+    often = each.groupBy("x").agg(F.count("*").alias("f"))
+    # a hair under n t, as the product may be rounded up
+    size = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    ranked = each.join(often, "x").groupBy("h1", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("p"))
+    first = keep(ranked.select("h1", "c", "n", F.slice("p.x", F.lit(1), size).alias("p")), "prefixes")
+    rows = first.select("h1", "c", "n", "p", F.explode("p").alias("x"))
+    lead = rows.groupBy("x", "c").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("c", F.struct("k", "c")).alias("lead"), F.count("*").alias("parts")).filter("parts > 1").select("x", "lead")
+    met = keep(rows.join(lead, "x"), "prefixed")
+    u = met.filter("c <> lead").select("x", F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    v = met.select("x", "lead", F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    once = (F.col("cb") == F.col("lead")) | (F.col("a") < F.col("b"))
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
+    pairs = u.join(v, "x").filter((F.col("ca") != F.col("cb")) & once & sizes).filter(F.col("x") == F.array_min(F.array_intersect("pa", "pb")))
+    out = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    for x in (each, first, met):
+        drop_kept(out.sparkSession, x)
     return out
 
 
-def links(lines: DataFrame, pairs: DataFrame, chars: int, similarity: float, most_ids: int = 1_000_000) -> DataFrame:
-    """The pairs whose sets have at least this Jaccard similarity.
+def sets_of(lines: DataFrame, ids: DataFrame, chars: int, most_ids: int = 1_000_000) -> DataFrame:
+    """h1 and s (the set) of the lines with these ids (h1).
 
-    Up to ``most_ids`` lines that are in a pair are broadcast, so that no
-    other line is shuffled; beyond that, lines and ids meet in a shuffle.
+    Up to ``most_ids`` of them are broadcast, so that no other line is
+    shuffled; beyond that, lines and ids meet in a shuffle.
     """
-    ids = keep(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
     if ids.count() <= most_ids:
         once = lines.select("h1", "line").join(F.broadcast(ids), "h1", "left_semi").dropDuplicates(["h1"])
     else:
         once = lines.select("h1", "line").dropDuplicates(["h1"]).join(ids, "h1", "left_semi")
-    sets = keep(once.select("h1", shingles(F.col("line"), chars).alias("s")), "sets")
+    return once.select("h1", shingles(F.col("line"), chars).alias("s"))
+
+
+def links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose ``sets`` (h1, s) have at least this Jaccard similarity."""
     both = pairs.join(sets.select(F.col("h1").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h1").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, chars: int = 9, bins: int = 8, few_bins: int = 4, rows: int = 4) -> DataFrame:
+def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, whole: int = 32) -> DataFrame:
+    """node and component for each h1 of ``keyed`` (h1, keys) that links to another by a shared key; ``sets`` gives h1 and s for a table of h1."""
+    pairs, large = candidates(keyed, whole)
+    ids = keep(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
+    known = keep(sets(ids), "sets")
+    found = keep(links(known, pairs, similarity), "links")
+    same = connected_components(found)
+    if not large.isEmpty():
+        same = keep(same, "same")
+        more = across(known.join(large, "h1", "left_semi"), same, similarity)
+        further = keep(links(known, more, similarity), "links")
+        if not further.isEmpty():
+            same = connected_components(same.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
+    for x in (pairs, large, ids, found):
+        drop_kept(keyed.sparkSession, x)
+    return same
+
+
+def dedup_lines(docs: DataFrame, similarity: float = 0.8, chars: int = 9, bins: int = 8, few_bins: int = 4, rows: int = 4, whole: int = 32) -> DataFrame:
     """The rows of ``docs`` with the lines that stay as text, and n_lines, n_removed. Numbers of bins are powers of two."""
     lines = lines_of(docs)
     keys = _let(shingles(F.col("line"), chars), lambda s: line_keys(s, bins, few_bins, rows))
     # hashes and keys of all lines, worked out in one scan of the texts
     seen = keep(lines.select("doc", "th", "pos", "h1", "h2", keys.alias("keys")), "lines")
-    pairs = candidates(seen)
-    same = connected_components(links(lines, pairs, chars, similarity))
+    same = similar(seen, lambda ids: sets_of(lines, ids, chars), similarity, whole)
     first = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "pos")).alias("at"), F.count("*").alias("n"))
     first = keep(first.join(same, F.col("h1") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL").select("h1", "h2", "at", "component"), "first")
     lead = first.filter("component IS NOT NULL").groupBy("component").agg(F.min("at").alias("lead"))

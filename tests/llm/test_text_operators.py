@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
@@ -219,6 +220,26 @@ def test_lines_that_differ_inside_long_words_stay(spark):
     assert {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()} == dict.fromkeys(range(2 * len(pairs)), 0)
 
 
+@pytest.mark.parametrize("whole", [4, 32])
+def test_all_lines_of_a_large_group_are_compared(spark, whole):
+    """Lines that all share a band: each of 100 has one near copy, which is unlike all others."""
+    sets = {}
+    for g in range(100):
+        own = [10_000 + 100 * g + k for k in range(20)]
+        sets |= {2 * g: sorted([*own, 1, 2, g]), 2 * g + 1: sorted([*own, 1, 3, g])}
+    both = spark.createDataFrame([(i, [7], s) for i, s in sets.items()], "h1 bigint, keys array<bigint>, s array<bigint>")
+    got = lines.similar(both.select("h1", "keys"), lambda ids: both.join(ids, "h1", "left_semi").select("h1", "s"), 0.8, whole)
+    assert {r.node: r.component for r in got.collect()} == {i: i - i % 2 for i in sets}
+
+
+def test_a_large_group_of_near_copies(spark):
+    """One band, links along a chain that the anchors see little of, and lines that link to nothing."""
+    sets = {i: list(range(i, i + 30)) for i in range(120)} | {1000 + i: [*range(2000 + 40 * i, 2025 + 40 * i), 5, 50] for i in range(60)}
+    both = spark.createDataFrame([(i, [7, 8], s) for i, s in sets.items()], "h1 bigint, keys array<bigint>, s array<bigint>")
+    got = lines.similar(both.select("h1", "keys"), lambda ids: both.join(ids, "h1", "left_semi").select("h1", "s"), 0.8, 8)
+    assert {r.node: r.component for r in got.collect()} == dict.fromkeys(range(120), 0)
+
+
 def test_line_dedup_of_nothing(no_docs):
     assert lines.dedup_lines(no_docs).count() == 0
 
