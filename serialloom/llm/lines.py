@@ -6,10 +6,10 @@ The set that stands for a line holds the hashes of its character shingles: the
 ``chars`` characters from each word's start on (so a shingle spans words, and
 an insertion shifts none of those behind it), and in a word of more than
 ``chars`` characters also those from each position behind these on, so that
-every character of a URL, a number or unspaced text is in a shingle. The least of these hashes are
-the line's MinHash sketch, dealt to bins by their last bits; a band is the
-``rows`` least values of a bin, and lines with an equal band are candidates.
-Lines with few shingles use ``few_bins`` bins, those near the border both. Candidates are verified by
+every character of a URL, a number or unspaced text is in a shingle. These
+hashes are dealt to bins by their remainder; a band is the ``rows`` least
+values of a bin, and lines with an equal band are candidates. Lines with few
+shingles use ``few_bins`` bins, those near the border both. Candidates are verified by
 the exact Jaccard similarity of their sets, links of at least ``similarity``
 go through the union-find, and of each component the line that comes first (by
 doc_id, then place) is kept.
@@ -53,22 +53,22 @@ def _let(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def bands(hashes: Column, least: int, bins: int, rows: int) -> Column:
-    """A key for each bin that is not empty. The ``least`` lowest values are dealt to bins by their last bits; a key is the hash of a bin's ``rows`` lowest."""
+def bands(hashes: Column, bins: int, rows: int) -> Column:
+    """A key for each bin that is not empty: the hash of its ``rows`` lowest values. Only of long lines, whose bins have far more, the highest values are left out first."""
 
     def keys(low: Column) -> Column:
-        each = F.transform(F.array(*[F.lit(b).cast("long") for b in range(bins)]), lambda b: F.filter(low, lambda x: x.bitwiseAND(F.lit(bins - 1).cast("long")) == b))
+        each = F.transform(F.array(*[F.lit(b).cast("long") for b in range(bins)]), lambda b: F.filter(low, lambda x: F.pmod(x, F.lit(bins).cast("long")) == b))
         return F.transform(F.filter(each, lambda a: F.size(a) > 0), lambda a: F.xxhash64(F.lit(bins), F.slice(a, 1, rows)))
 
-    return _let(F.slice(hashes, 1, least), keys)
+    return _let(F.slice(hashes, 1, 4 * bins * rows), keys)
 
 
 def line_keys(hashes: Column, bins: int, few_bins: int, rows: int) -> Column:
     """The keys of a line: with ``bins`` bins if it has shingles for them, with ``few_bins`` if it has few, with both near the border."""
     border = bins * rows
     none = F.array().cast("array<bigint>")
-    many = F.when(F.size(hashes) >= int(border * 0.8), bands(hashes, border, bins, rows)).otherwise(none)
-    few = F.when(F.size(hashes) < border * 1.25, bands(hashes, few_bins * rows, few_bins, rows)).otherwise(none)
+    many = F.when(F.size(hashes) >= int(border * 0.6), bands(hashes, bins, rows)).otherwise(none)
+    few = F.when(F.size(hashes) < border * 1.25, bands(hashes, few_bins, rows)).otherwise(none)
     return F.concat(many, few)
 
 
@@ -80,7 +80,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def candidates(keyed: DataFrame, whole: int = 32) -> tuple[DataFrame, DataFrame]:
+def candidates(keyed: DataFrame, whole: int = 8) -> tuple[DataFrame, DataFrame]:
     """a < b (h1 of two lines): pairs that share a band; and h1 of the lines in groups of over ``whole``, which are paired with anchors only. keyed: h1 and keys."""
     banded = keep(keyed.select("h1", F.explode("keys").alias("key")).distinct(), "bands")
     order = lambda c, k: F.xxhash64(F.lit(k), c)
@@ -100,23 +100,24 @@ def candidates(keyed: DataFrame, whole: int = 32) -> tuple[DataFrame, DataFrame]
 
 
 def across(sets: DataFrame, same: DataFrame, similarity: float) -> DataFrame:
-    """a and b: every pair of ``sets`` (h1, s) in different components that its sizes and the prefix filter do not rule out, once."""
+    """a and b: every pair of ``sets`` (h1, s) in different components with at least this Jaccard similarity, once; verified where it meets, so no other pair is a row."""
     named = sets.join(same, F.col("h1") == F.col("node"), "left").select("h1", "s", F.coalesce("component", "h1").alias("c"))
     each = keep(named.select("h1", "c", F.size("s").alias("n"), F.explode("s").alias("x")), "hashes")
     often = each.groupBy("x").agg(F.count("*").alias("f"))
     # a hair under n t, as the product may be rounded up
     size = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
     ranked = each.join(often, "x").groupBy("h1", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("p"))
-    first = keep(ranked.select("h1", "c", "n", F.slice("p.x", F.lit(1), size).alias("p")), "prefixes")
-    rows = first.select("h1", "c", "n", "p", F.explode("p").alias("x"))
+    first = keep(ranked.select("h1", "c", "n", F.slice("p.x", F.lit(1), size).alias("p"), F.col("p.x").alias("s")), "prefixes")
+    rows = first.select("h1", "c", "n", "p", "s", F.explode("p").alias("x"))
     lead = rows.groupBy("x", "c").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("c", F.struct("k", "c")).alias("lead"), F.count("*").alias("parts")).filter("parts > 1").select("x", "lead")
     met = keep(rows.join(lead, "x"), "prefixed")
-    u = met.filter("c <> lead").select("x", F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    v = met.select("x", "lead", F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    u = met.filter("c <> lead").select("x", F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("s").alias("sa"))
+    v = met.select("x", "lead", F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("s").alias("sb"))
     once = (F.col("cb") == F.col("lead")) | (F.col("a") < F.col("b"))
     sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    pairs = u.join(v, "x").filter((F.col("ca") != F.col("cb")) & once & sizes).filter(F.col("x") == F.array_min(F.array_intersect("pa", "pb")))
-    out = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    common = F.size(F.array_intersect("sa", "sb"))
+    close = common >= similarity * (F.col("na") + F.col("nb") - common)
+    out = keep(u.join(v, "x").filter((F.col("ca") != F.col("cb")) & once & sizes & (F.col("x") == F.array_min(F.array_intersect("pa", "pb"))) & close).select("a", "b"), "across")
     for x in (each, first, met):
         drop_kept(out.sparkSession, x)
     return out
@@ -142,7 +143,7 @@ def links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, whole: int = 32) -> DataFrame:
+def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, whole: int = 8) -> DataFrame:
     """node and component for each h1 of ``keyed`` (h1, keys) that links to another by a shared key; ``sets`` gives h1 and s for a table of h1."""
     pairs, large = candidates(keyed, whole)
     ids = keep(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
@@ -151,8 +152,7 @@ def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity
     same = connected_components(found)
     if not large.isEmpty():
         same = keep(same, "same")
-        more = across(known.join(large, "h1", "left_semi"), same, similarity)
-        further = keep(links(known, more, similarity), "links")
+        further = across(known.join(large, "h1", "left_semi"), same, similarity)
         if not further.isEmpty():
             same = connected_components(same.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
     for x in (pairs, large, ids, found):
@@ -160,8 +160,8 @@ def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity
     return same
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, chars: int = 9, bins: int = 8, few_bins: int = 4, rows: int = 4, whole: int = 32) -> DataFrame:
-    """The rows of ``docs`` with the lines that stay as text, and n_lines, n_removed. Numbers of bins are powers of two."""
+def dedup_lines(docs: DataFrame, similarity: float = 0.8, chars: int = 9, bins: int = 10, few_bins: int = 5, rows: int = 4, whole: int = 8) -> DataFrame:
+    """The rows of ``docs`` with the lines that stay as text, and n_lines, n_removed."""
     lines = lines_of(docs)
     keys = _let(shingles(F.col("line"), chars), lambda s: line_keys(s, bins, few_bins, rows))
     # hashes and keys of all lines, worked out in one scan of the texts

@@ -240,6 +240,18 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.node: r.component for r in got.collect()} == dict.fromkeys(range(120), 0)
 
 
+def test_bands_find_links_at_the_limit(spark):
+    """Share of pairs of sets of random hashes, just at 0.8 or above, that share a key."""
+    rng, rows = np.random.default_rng(3), []
+    for n, d in ((18, 2), (22, 2), (30, 3), (60, 6), (200, 22)):
+        for i in range(600):
+            u = rng.integers(-(1 << 62), 1 << 62, n + d).tolist()
+            rows.append((n, sorted(u[:n]), sorted(u[d:])))
+    k = lambda c: lines.line_keys(F.col(c), 10, 5, 4)
+    got = spark.createDataFrame(rows, "n int, a array<bigint>, b array<bigint>").groupBy("n").agg(F.avg(F.arrays_overlap(k("a"), k("b")).cast("int")).alias("r")).collect()
+    assert len(got) == 5 and all(r.r >= 0.985 for r in got), got
+
+
 def test_line_dedup_of_nothing(no_docs):
     assert lines.dedup_lines(no_docs).count() == 0
 
