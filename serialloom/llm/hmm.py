@@ -42,8 +42,8 @@ _PIECE_BYTES = 2 << 20
 class HmmParams:
     states: int = 4
     symbols: int = 1 << 15
-    #: Iterations and the share of training texts (by a hash of doc_id) that each runs over; the last ones take all.
-    schedule: tuple[tuple[int, float], ...] = ((6, 1 / 16), (2, 1.0))
+    #: Iterations and the share of training texts (by a hash of doc_id) that each runs over.
+    schedule: tuple[tuple[int, float], ...] = ((8, 1.0),)
     prior: float = 200.0
     seed: int = 7
 

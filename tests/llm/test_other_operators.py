@@ -276,3 +276,10 @@ def test_training_raises_the_likelihood(spark):
     got = hmm.score_corpus(docs, params=hmm.HmmParams(states=2, symbols=1024, schedule=((12, 1.0),), prior=5.0)).toPandas()
     held = got[got.held_out]
     assert len(held) > 5 and (held.score > held.base_score + 10).all()
+
+
+def test_hmm_rounds_run_over_all_training_texts(spark):
+    """By default; texts whose ids are all null hash alike, so a share of them was none."""
+    assert all(part == 1 for _, part in hmm.HmmParams().schedule)
+    docs = spark.createDataFrame([(None, "a b " * 30) for _ in range(6)], "doc_id bigint, text string")
+    assert all(abs(r.score - r.base_score) > 1e-3 for r in hmm.score_corpus(docs).collect())
