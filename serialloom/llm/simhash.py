@@ -165,9 +165,10 @@ def links(keyed: DataFrame, distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks: int = 5, seed: int = 42, hot: int = 8192) -> DataFrame:
     """doc_id, fp (bigint) and component_id, the smallest doc_id that the row's fingerprint reaches, for each row."""
     seen = keep(fingerprints(docs, words, seed), "fps")
-    first = seen.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    nodes = keep(first.filter("node IS NOT NULL"), "nodes")
-    # fingerprints of rows without an id alone stand for themselves: they cannot be the smallest doc_id of any component
+    # a fingerprint is its own node, so that those of rows without an id link as well
+    nodes = keep(seen.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
     found = connected_components(links(block_keys(nodes, distance, blocks, hot), distance))
-    named = nodes.join(found, "node", "left").select(F.col("fp"), F.coalesce("component", "node").alias("component_id"))
-    return seen.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    first = seen.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    named = keep(first.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return seen.join(named.join(least, "component").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")

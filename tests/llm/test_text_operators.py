@@ -126,6 +126,14 @@ def test_simhash_splits_hot_groups(spark):
         assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+def test_simhash_links_over_rows_without_an_id(spark, monkeypatch):
+    """5 and 9 differ in four bits and reach each other over the row without an id, which takes their component; another such row has none."""
+    fps = spark.createDataFrame([(5, 0), (None, 3), (9, 15), (None, 1 << 62 | 0xFFFF00)], "doc_id bigint, fp bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: fps)
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(fps).collect()}
+    assert got == {(5, 0): 5, (None, 3): 5, (9, 15): 5, (None, 1 << 62 | 0xFFFF00): None}
+
+
 def test_simhash_of_nothing(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
