@@ -2,33 +2,30 @@
 
 Lines are the parts of a text between line feeds, compared trimmed and in
 lower case; blank lines always stay. Equal lines are found by a 128-bit hash.
-The set that stands for a line holds the hashes of its character shingles: the
-``chars`` characters from each word's start on (so a shingle spans words, and
-an insertion shifts none of those behind it), and in a word of more than
-``chars`` characters also those from each position behind these on, so that
-every character of a URL, a number or unspaced text is in a shingle. These
-hashes are dealt to bins by their remainder; a band is the ``rows`` least
-values of a bin, and lines with an equal band are candidates. Lines with few
-shingles use ``few_bins`` bins, those near the border both. Candidates are verified by
-the exact Jaccard similarity of their sets, links of at least ``similarity``
-go through the union-find, and of each component the line that comes first (by
-doc_id, then place) is kept.
+The set that stands for a line holds the hashes of its character shingles, the
+``chars`` characters (UTF-16 units) from each position on; a shorter line is
+one shingle. The range of hashes is cut into ``bins`` equal bins; a band is the
+``rows`` least hashes of a bin, and lines with an equal band are candidates.
+Candidates are verified by the exact Jaccard similarity of their sets, links of
+at least ``similarity`` go through the union-find, and of each component the
+line that comes first (by doc_id, then place) is kept.
 
 Every pair of lines that share a band is linked, proved to be less similar, or
 in one component already. The pairs of a group of up to ``whole`` lines are all
 verified. The lines of a larger group are first paired with a few anchors (its
 least and greatest line and those of two other orders), which are aggregates,
-and components are found. What may still link two components is found by an
-exact prefix filter: two sets of similarity t share one of the first
-``n - ceil(t n) + 1`` of their n hashes in any common order, here the rarest
-first, so lines of different components meet by these alone. Where lines share
-such a hash, those of the most frequent component are not paired among
-themselves, and an adaptive join splits a frequent hash.
+and components are found. Only groups that still hold several components go on.
+What may link these is found by an exact prefix filter: two sets of similarity
+t share one of the first ``n - ceil(t n) + 1`` of their n hashes in any common
+order, here the rarest first, so lines of different components meet by these
+alone. Where lines share such a hash, those of the most frequent component are
+not paired among themselves, and an adaptive join splits a frequent hash.
 
 Edge cases: a null text stays null and has no lines; a null ``doc_id`` comes
 first; rows that repeat both doc_id and text are one document, returned each;
 a text whose lines all go is an empty one; an empty table gives an empty
-result; further columns are passed through.
+result; further columns are passed through, but for those named n_lines or
+n_removed, whose place the counts take.
 """
 
 from __future__ import annotations
@@ -41,11 +38,11 @@ from pyspark.sql import functions as F
 from ..session import drop_kept, keep
 from .components import connected_components
 
-
-def shingles(line: Column, chars: int = 9) -> Column:
-    """The distinct hashes of a line's shingles, in order."""
-    found = F.regexp_extract_all(line, F.lit(r"(?s)(?:^|(?<=\s)|(?<=\S{%d}))(?=(\S.{0,%d}))" % (chars, chars - 1)), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
+#: Rows of 8 to 24 bytes up to which a counted table is broadcast; beyond that, both sides are shuffled.
+MOST_ROWS = 1_000_000
+#: Counters of the hashes' frequencies, which only set the order of the prefix filter.
+COUNTERS = 1 << 16
+_SALTS = 16
 
 
 def _let(x: Column, f) -> Column:
@@ -53,23 +50,27 @@ def _let(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def bands(hashes: Column, bins: int, rows: int) -> Column:
-    """A key for each bin that is not empty: the hash of its ``rows`` lowest values. Only of long lines, whose bins have far more, the highest values are left out first."""
-
-    def keys(low: Column) -> Column:
-        each = F.transform(F.array(*[F.lit(b).cast("long") for b in range(bins)]), lambda b: F.filter(low, lambda x: F.pmod(x, F.lit(bins).cast("long")) == b))
-        return F.transform(F.filter(each, lambda a: F.size(a) > 0), lambda a: F.xxhash64(F.lit(bins), F.slice(a, 1, rows)))
+def shingles(line: Column, chars: int = 9) -> Column:
+    """The hashes of a line's shingles in order of position, repeats included. Two bytes a character, so that each is cut out at once."""
+    wide = 2 * chars
+    at = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b) - wide + 1), F.lit(2))
+    return _let(F.encode(line, "UTF-16BE"), lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(wide)))))
 
-    return _let(F.slice(hashes, 1, 4 * bins * rows), keys)
 
+def with_bands(rows: DataFrame, hashes: Column, bins: int, rows_of: int) -> DataFrame:
+    """``rows`` and ``keys``: one key for each bin that is not empty, the hash of its ``rows_of`` least values.
 
-def line_keys(hashes: Column, bins: int, few_bins: int, rows: int) -> Column:
-    """The keys of a line: with ``bins`` bins if it has shingles for them, with ``few_bins`` if it has few, with both near the border."""
-    border = bins * rows
-    none = F.array().cast("array<bigint>")
-    many = F.when(F.size(hashes) >= int(border * 0.6), bands(hashes, bins, rows)).otherwise(none)
-    few = F.when(F.size(hashes) < border * 1.25, bands(hashes, few_bins, rows)).otherwise(none)
-    return F.concat(many, few)
+    The bins' lower ends are sorted in among the hashes, so that a bin is what
+    stands between two of them. Where hashes repeat much, repeats go first.
+    """
+    ends = [-(1 << 63) + b * (1 << 64) // bins for b in range(bins)] + [(1 << 63) - 1]
+    marked = rows.withColumn("__s", F.sort_array(F.concat(F.array(*[F.lit(x) for x in ends]), hashes)))
+    head = F.slice("__s", 1, 32)
+    marked = marked.withColumn("__s", F.when(F.size(F.array_distinct(head)) < 0.9 * F.size(head), F.sort_array(F.array_distinct("__s"))).otherwise(F.col("__s")))
+    placed = marked.select("*", *[F.array_position("__s", F.lit(x)).cast("int").alias(f"__p{b}") for b, x in enumerate(ends)])
+    key = lambda b, n: F.when(n > 0, F.xxhash64(F.lit(b), F.slice("__s", F.col(f"__p{b}") + 1, F.least(n, F.lit(rows_of)))))
+    keys = F.array(*[key(b, F.col(f"__p{b + 1}") - F.col(f"__p{b}") - 1) for b in range(bins)])
+    return placed.select(*rows.columns, keys.alias("keys"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -80,106 +81,149 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def candidates(keyed: DataFrame, whole: int = 8) -> tuple[DataFrame, DataFrame]:
-    """a < b (h1 of two lines): pairs that share a band; and h1 of the lines in groups of over ``whole``, which are paired with anchors only. keyed: h1 and keys."""
-    banded = keep(keyed.select("h1", F.explode("keys").alias("key")).distinct(), "bands")
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows; it is a kept table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def banded(keyed: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """key and h1, once each, of all keys that different lines share. keyed: h1 (may repeat) and keys."""
+    each = keyed.select("h1", F.explode("keys").alias("key")).filter("key IS NOT NULL")
+    # two numbers a key, summed before they are shuffled; nearly all keys end here
+    shared = keep(each.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least <> most").select("key"), "shared")
+    out = keep(each.join(_small(shared, most_rows), "key").distinct(), "bands")
+    drop_kept(out.sparkSession, shared)
+    return out
+
+
+def candidates(bands: DataFrame, whole: int = 8) -> tuple[DataFrame, DataFrame]:
+    """a < b (h1 of two lines): pairs that share a band; and key and h1 of the groups of over ``whole`` lines, which are paired with anchors only."""
     order = lambda c, k: F.xxhash64(F.lit(k), c)
-    groups = keep(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("most")).filter("n > 1"), "groups")
-    met = keep(banded.join(groups.filter("n > 2"), "key"), "met")
+    groups = keep(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("most")), "groups")
+    met = keep(bands.join(groups.filter("n > 2"), "key"), "met")
     few = met.filter(F.col("n") <= whole).groupBy("key").agg(F.collect_list("h1").alias("all"))
     few = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
     many = met.filter(F.col("n") > whole)
-    more = many.groupBy("key").agg(F.min(F.struct(order("h1", 1).alias("o"), F.col("h1"))).alias("x"), F.min(F.struct(order("h1", 2).alias("o"), F.col("h1"))).alias("y"))
-    tied = many.join(more, "key").select("h1", F.explode(F.array_distinct(F.array("least", "most", F.col("x.h1"), F.col("y.h1")))).alias("other")).filter("h1 <> other")
+    more = many.groupBy("key").agg(F.min_by("h1", order("h1", 1)).alias("x"), F.min_by("h1", order("h1", 2)).alias("y"))
+    tied = many.join(more, "key").select("h1", F.explode(F.array_distinct(F.array("least", "most", "x", "y"))).alias("other")).filter("h1 <> other")
     tied = tied.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b"))
     pairs = groups.filter("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b")).unionByName(few).unionByName(tied)
-    out, large = keep(pairs.distinct(), "pairs"), keep(many.select("h1").distinct(), "large")
-    for x in (banded, groups, met):
+    out, large = keep(pairs.distinct(), "pairs"), keep(many.select("key", "h1"), "large")
+    for x in (groups, met):
         drop_kept(out.sparkSession, x)
     return out, large
 
 
-def across(sets: DataFrame, same: DataFrame, similarity: float) -> DataFrame:
-    """a and b: every pair of ``sets`` (h1, s) in different components with at least this Jaccard similarity, once; verified where it meets, so no other pair is a row."""
-    named = sets.join(same, F.col("h1") == F.col("node"), "left").select("h1", "s", F.coalesce("component", "h1").alias("c"))
-    each = keep(named.select("h1", "c", F.size("s").alias("n"), F.explode("s").alias("x")), "hashes")
-    often = each.groupBy("x").agg(F.count("*").alias("f"))
+def open_lines(large: DataFrame, same: DataFrame) -> DataFrame:
+    """h1 and c (the component) of the lines in groups that still hold several components."""
+    named = keep(large.join(same, F.col("h1") == F.col("node"), "left").select("key", "h1", F.coalesce("component", "h1").alias("c")), "named")
+    several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
+    out = keep(named.join(several, "key", "left_semi").select("h1", "c").distinct(), "open")
+    drop_kept(out.sparkSession, named)
+    return out
+
+
+def across(sets: DataFrame, members: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
+    """a and b: pairs of ``members`` (h1, c) in different components that the prefix filter can't rule out. sets: h1, n (size of the set) and x, of which ``of`` makes the set."""
+    own = keep(sets.join(members, "h1").select("h1", "c", "n", F.array_distinct(of(F.col("x"))).alias("s")), "sets")
+    slot = lambda x: F.pmod(x, F.lit(COUNTERS)).cast("int")
+    often = own.select(F.explode("s").alias("x")).groupBy(slot(F.col("x")).alias("i")).agg(F.count("*").alias("f"))
+    # one row of COUNTERS numbers, whatever the input
+    table = often.agg(F.map_from_entries(F.collect_list(F.struct("i", "f"))).alias("f")).select(F.transform(F.sequence(F.lit(0), F.lit(COUNTERS - 1)), lambda i: F.coalesce(F.col("f")[i], F.lit(0).cast("long"))).alias("often"))
+    table = keep(table, "often")
+    # the rarest first; what follows the count tells hashes apart
+    token = lambda x: F.shiftleft(F.least(F.get(F.col("often"), slot(x)), F.lit((1 << 22) - 1)), 41).bitwiseOR(F.shiftrightunsigned(x, 23))
     # a hair under n t, as the product may be rounded up
     size = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
-    ranked = each.join(often, "x").groupBy("h1", "c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("p"))
-    first = keep(ranked.select("h1", "c", "n", F.slice("p.x", F.lit(1), size).alias("p"), F.col("p.x").alias("s")), "prefixes")
-    rows = first.select("h1", "c", "n", "p", "s", F.explode("p").alias("x"))
+    first = own.crossJoin(F.broadcast(table)).select("h1", "c", "n", F.slice(F.sort_array(F.transform("s", token)), F.lit(1), size).alias("p"))
+    rows = keep(first.select("h1", "c", "n", F.explode("p").alias("x")), "prefixes")
     lead = rows.groupBy("x", "c").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("c", F.struct("k", "c")).alias("lead"), F.count("*").alias("parts")).filter("parts > 1").select("x", "lead")
     met = keep(rows.join(lead, "x"), "prefixed")
-    u = met.filter("c <> lead").select("x", F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("s").alias("sa"))
-    v = met.select("x", "lead", F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("s").alias("sb"))
+    u = met.filter("c <> lead").select("x", F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
+    v = met.select("x", "lead", F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
     once = (F.col("cb") == F.col("lead")) | (F.col("a") < F.col("b"))
     sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    common = F.size(F.array_intersect("sa", "sb"))
-    close = common >= similarity * (F.col("na") + F.col("nb") - common)
-    out = keep(u.join(v, "x").filter((F.col("ca") != F.col("cb")) & once & sizes & (F.col("x") == F.array_min(F.array_intersect("pa", "pb"))) & close).select("a", "b"), "across")
-    for x in (each, first, met):
+    out = keep(u.join(v, "x").filter((F.col("ca") != F.col("cb")) & once & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    for x in (own, table, rows, met):
         drop_kept(out.sparkSession, x)
     return out
 
 
-def sets_of(lines: DataFrame, ids: DataFrame, chars: int, most_ids: int = 1_000_000) -> DataFrame:
-    """h1 and s (the set) of the lines with these ids (h1).
+def links(sets: DataFrame, pairs: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
+    """The pairs whose sets have at least this Jaccard similarity."""
+    side = lambda k: sets.select(F.col("h1").alias(k), F.col("n").alias(f"n{k}"), F.col("x").alias(f"x{k}"))
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(sizes)
+    common = both.select("a", "b", "na", "nb", F.size(F.array_intersect(of(F.col("xa")), of(F.col("xb")))).alias("common"))
+    return common.filter(F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
-    Up to ``most_ids`` of them are broadcast, so that no other line is
-    shuffled; beyond that, lines and ids meet in a shuffle.
+
+def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], of: Callable[[Column], Column], similarity: float, whole: int = 8) -> DataFrame:
+    """node and component for each h1 of ``keyed`` (h1, keys) that links to another by a shared key.
+
+    ``sets`` gives, for a table of h1, h1 with n, the size of its set, and x, of which ``of`` makes the set.
     """
-    if ids.count() <= most_ids:
-        once = lines.select("h1", "line").join(F.broadcast(ids), "h1", "left_semi").dropDuplicates(["h1"])
-    else:
-        once = lines.select("h1", "line").dropDuplicates(["h1"]).join(ids, "h1", "left_semi")
-    return once.select("h1", shingles(F.col("line"), chars).alias("s"))
-
-
-def links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose ``sets`` (h1, s) have at least this Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("h1").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h1").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, whole: int = 8) -> DataFrame:
-    """node and component for each h1 of ``keyed`` (h1, keys) that links to another by a shared key; ``sets`` gives h1 and s for a table of h1."""
-    pairs, large = candidates(keyed, whole)
-    ids = keep(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
-    known = keep(sets(ids), "sets")
-    found = keep(links(known, pairs, similarity), "links")
-    same = connected_components(found)
+    spark = keyed.sparkSession
+    bands = banded(keyed)
+    pairs, large = candidates(bands, whole)
+    ids = keep(bands.select("h1").distinct(), "ids")
+    known = keep(sets(ids), "known")
+    found = keep(links(known, pairs, of, similarity), "links")
+    same = keep(connected_components(found), "same")
     if not large.isEmpty():
-        same = keep(same, "same")
-        further = across(known.join(large, "h1", "left_semi"), same, similarity)
-        if not further.isEmpty():
-            same = connected_components(same.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
-    for x in (pairs, large, ids, found):
-        drop_kept(keyed.sparkSession, x)
+        members = open_lines(large, same)
+        if not members.isEmpty():
+            further = keep(links(known, across(known, members, of, similarity), of, similarity), "further")
+            if not further.isEmpty():
+                same = keep(connected_components(same.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further)), "same")
+    for x in (bands, pairs, large, ids, known, found):
+        drop_kept(spark, x)
     return same
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, chars: int = 9, bins: int = 10, few_bins: int = 5, rows: int = 4, whole: int = 8) -> DataFrame:
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def dedup_lines(docs: DataFrame, similarity: float = 0.8, chars: int = 9, bins: int = 9, rows: int = 4, whole: int = 8, most_rows: int = MOST_ROWS) -> DataFrame:
     """The rows of ``docs`` with the lines that stay as text, and n_lines, n_removed."""
     lines = lines_of(docs)
-    keys = _let(shingles(F.col("line"), chars), lambda s: line_keys(s, bins, few_bins, rows))
     # hashes and keys of all lines, worked out in one scan of the texts
-    seen = keep(lines.select("doc", "th", "pos", "h1", "h2", keys.alias("keys")), "lines")
-    same = similar(seen, lambda ids: sets_of(lines, ids, chars), similarity, whole)
-    first = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "pos")).alias("at"), F.count("*").alias("n"))
-    first = keep(first.join(same, F.col("h1") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL").select("h1", "h2", "at", "component"), "first")
-    lead = first.filter("component IS NOT NULL").groupBy("component").agg(F.min("at").alias("lead"))
-    stays = first.join(lead, "component", "left").select("h1", "h2", F.coalesce("lead", "at").alias("stays"))
-    gone = seen.select("doc", "th", "pos", "h1", "h2").join(stays, ["h1", "h2"]).filter(~F.struct("doc", "th", "pos").eqNullSafe(F.col("stays")))
-    gone = gone.groupBy(F.col("doc").alias("__of"), F.col("th").alias("__of_th")).agg(F.collect_set("pos").alias("__gone"))
-    own = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    met = own.join(gone, F.col("__doc").eqNullSafe(F.col("__of")) & (F.col("__th") == F.col("__of_th")), "left")
+    own = with_bands(lines.select("doc", "th", "pos", "h1", "h2", "line"), shingles(F.col("line"), chars), bins, rows)
+    seen = keep(own.drop("line"), "lines")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        some = lines.select("h1", "line").join(_small(ids, most_rows), "h1", "left_semi").dropDuplicates(["h1"])
+        return some.select("h1", F.size(F.array_distinct(shingles(F.col("line"), chars))).alias("n"), F.col("line").alias("x"))
+
+    same = similar(seen.select("h1", "keys"), sets, lambda x: shingles(x, chars), similarity, whole)
+    # one number for a line's place, by doc, text and position, so that the least of them is a hash aggregate
+    wide = lambda c: c.cast("decimal(38,0)")
+    doc = F.coalesce(F.col("doc"), F.lit(-(1 << 63)))
+    place = (wide(doc) * wide(F.lit(1 << 62)) + wide(F.pmod(F.col("th"), F.lit(1 << 31)) * F.lit(1 << 31) + F.col("pos"))).cast("decimal(38,0)")
+    seen = seen.select("doc", "th", "pos", "h1", "h2", place.alias("place"))
+    first = seen.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    first = keep(first.join(same, F.col("h1") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL").select("h1", "h2", "place", "component"), "first")
+    # a component may hold very many lines: these meet its lead in several parts
+    lead = first.filter("component IS NOT NULL").groupBy("component").agg(F.min("place").alias("lead"))
+    lead = lead.select("component", "lead", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    part = first.withColumn("salt", F.pmod(F.col("h1"), F.lit(_SALTS)).cast("int"))
+    stays = part.join(lead, ["component", "salt"], "left").select("h1", "h2", F.coalesce("lead", "place").alias("stays"))
+    gone = seen.join(stays, ["h1", "h2"]).filter(F.col("place") != F.col("stays"))
+    k_doc, k_th, of_doc, of_th, k_gone = _free(docs, "doc", "th", "of_doc", "of_th", "gone")
+    gone = gone.groupBy(F.col("doc").alias(of_doc), F.col("th").alias(of_th)).agg(F.collect_set("pos").alias(k_gone))
+    passed = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    met = docs.select(*[F.col(f"`{c}`") for c in passed], F.col("doc_id").cast("long").alias(k_doc), F.xxhash64("text").alias(k_th))
+    met = met.join(gone, F.col(k_doc).eqNullSafe(F.col(of_doc)) & (F.col(k_th) == F.col(of_th)), "left")
     parts = F.split("text", "\n", -1)
-    none = F.array().cast("array<int>")
-    stay = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("__gone", none), i))
+    stay = _let(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(k_gone)), lambda i: F.get(p, i)))
+    text = F.when(F.col(k_gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
     return met.select(
-        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in passed],
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(k_gone), F.lit(0)).cast("long").alias("n_removed"),
     )
