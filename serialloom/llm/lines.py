@@ -127,9 +127,10 @@ def across(sets: DataFrame, members: DataFrame, of: Callable[[Column], Column],
     """a and b: pairs of ``members`` (h1, c) in different components that the prefix filter can't rule out. sets: h1, n (size of the set) and x, of which ``of`` makes the set."""
     own = keep(sets.join(members, "h1").select("h1", "c", "n", F.array_distinct(of(F.col("x"))).alias("s")), "sets")
     slot = lambda x: F.pmod(x, F.lit(COUNTERS)).cast("int")
-    often = own.select(F.explode("s").alias("x")).groupBy(slot(F.col("x")).alias("i")).agg(F.count("*").alias("f"))
+    often = own.select(F.explode("s").alias("x")).select(slot(F.col("x")).alias("i")).groupBy("i").agg(F.count("*").alias("f"))
+    zero = sets.sparkSession.range(0, COUNTERS, 1, 1).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("f"))
     # one row of COUNTERS numbers, whatever the input
-    table = often.agg(F.map_from_entries(F.collect_list(F.struct("i", "f"))).alias("f")).select(F.transform(F.sequence(F.lit(0), F.lit(COUNTERS - 1)), lambda i: F.coalesce(F.col("f")[i], F.lit(0).cast("long"))).alias("often"))
+    table = often.unionByName(zero).groupBy("i").agg(F.sum("f").alias("f")).agg(F.array_sort(F.collect_list(F.struct("i", "f"))).alias("a")).select(F.col("a.f").alias("often"))
     table = keep(table, "often")
     # the rarest first; what follows the count tells hashes apart
     token = lambda x: F.shiftleft(F.least(F.get(F.col("often"), slot(x)), F.lit((1 << 22) - 1)), 41).bitwiseOR(F.shiftrightunsigned(x, 23))
