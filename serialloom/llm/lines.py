@@ -18,13 +18,10 @@ The pairs of a group of up to ``whole`` lines are all verified. The lines of a
 larger group are first paired with a few anchors (its least and greatest line
 and those of two other orders), which are aggregates, and components are
 found. Groups that still hold several components are split by further bands,
-of twice the values and four times as many (two lines at the limit share none
-of these with a chance below 0.001). What is left of large groups goes through
-an exact prefix filter: two sets of similarity t share one of the first
-``n - ceil(t n) + 1`` of their n hashes in any common order, here the rarest
-first, so lines of different components meet by these alone. Where lines share
-such a hash, those of the most frequent component are not paired among
-themselves, and an adaptive join splits a frequent hash.
+of twice the values and four times as many, and these once more (two lines at
+the limit share none of them with chances of 0.001 and 0.01). In the groups of
+the last ones that still hold several components, all pairs of lines of
+different components are verified.
 
 Edge cases: a null text stays null and has no lines; a null ``doc_id`` comes
 first; rows that repeat both doc_id and text are one document, returned each;
@@ -50,8 +47,6 @@ from .tokens import M1, M2, M3, mix, pieces, rolling
 
 #: Rows of 8 to 24 bytes up to which a counted table is broadcast; beyond that, both sides are shuffled.
 MOST_ROWS = 1_000_000
-#: Counters of the hashes' frequencies, which only set the order of the prefix filter.
-COUNTERS = 1 << 16
 _SALTS = 16
 #: Bits of a sort key for the bin; the rest are the hash's.
 _SPOT_BITS = 24
@@ -200,32 +195,14 @@ def open_lines(large: DataFrame, same: DataFrame) -> DataFrame:
     return out
 
 
-def across(sets: DataFrame, members: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
-    """a and b: pairs of ``members`` (h1, c) in different components that the prefix filter can't rule out. sets: h1, n (size of the set) and x, of which ``of`` makes the set."""
-    own = keep(sets.join(members, "h1").select("h1", "c", "n", F.array_distinct(of(F.col("x"))).alias("s")), "sets")
-    slot = lambda x: F.pmod(x, F.lit(COUNTERS)).cast("int")
-    often = own.select(F.explode("s").alias("x")).select(slot(F.col("x")).alias("i")).groupBy("i").agg(F.count("*").alias("f"))
-    zero = sets.sparkSession.range(0, COUNTERS, 1, 1).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("f"))
-    # one row of COUNTERS numbers, whatever the input
-    table = often.unionByName(zero).groupBy("i").agg(F.sum("f").alias("f")).agg(F.array_sort(F.collect_list(F.struct("i", "f"))).alias("a")).select(F.col("a.f").alias("often"))
-    table = keep(table, "often")
-    # the rarest first; what follows the count tells hashes apart
-    token = lambda x: F.shiftleft(F.least(F.get(F.col("often"), slot(x)), F.lit((1 << 22) - 1)), 41).bitwiseOR(F.shiftrightunsigned(x, 23))
-    # a hair under n t, as the product may be rounded up
-    size = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
-    first = own.crossJoin(F.broadcast(table)).select("h1", "c", "n", F.slice(F.sort_array(F.transform("s", token)), F.lit(1), size).alias("p"))
-    rows = keep(first.select("h1", "c", "n", F.explode("p").alias("x")), "prefixes")
-    lead = rows.groupBy("x", "c").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("c", F.struct("k", "c")).alias("lead"), F.count("*").alias("parts")).filter("parts > 1").select("x", "lead")
-    met = keep(rows.join(lead, "x").join(own.select("h1", "s"), "h1"), "prefixed")
-    u = met.filter("c <> lead").select("x", F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    v = met.select("x", "lead", F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    once = (F.col("cb") == F.col("lead")) | (F.col("a") < F.col("b"))
+def within(sets: DataFrame, large: DataFrame, members: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
+    """a and b: the links between different components inside each group of ``large`` (key, h1); members: h1 and c. Pairs are verified where they meet, so that no other pair is a row."""
+    rows = keep(large.join(members, "h1").join(sets, "h1").select("key", "h1", "c", "n", "x"), "within")
+    side = lambda k: rows.select("key", F.col("h1").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("x").alias(f"x{k}"))
     sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    # verified where it meets, so that no other pair is a row
-    close = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9
-    out = keep(u.join(v, "x").filter((F.col("ca") != F.col("cb")) & once & sizes & close).select("a", "b"), "across").distinct()
-    for x in (own, table, rows, met):
-        drop_kept(sets.sparkSession, x)
+    close = F.size(F.array_intersect(of(F.col("xa")), of(F.col("xb")))) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9
+    out = keep(side("a").join(side("b"), "key").filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & sizes & close).select("a", "b").distinct(), "across")
+    drop_kept(out.sparkSession, rows)
     return out
 
 
@@ -265,18 +242,19 @@ def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], of: Callab
         drop_kept(spark, x)
     if large.isEmpty():
         return same
-    members = open_lines(large, same)
-    if not members.isEmpty():
-        # groups of many lines fall apart by bands of more values, of which there are more
-        bands = banded(with_keys(known.join(members.select("h1").distinct(), "h1", "left_semi").select("h1", "x"), "x", chars, 10, 8, 4))
-        pairs, large = candidates(bands, whole)
-        found = keep(links(known, _apart(pairs, same), of, similarity), "links")
-        same = _joined(same, found)
+    # groups of many lines fall apart by bands of more values, of which there are more
+    for rows, turns in ((8, 4), (16, 16)):
         members = open_lines(large, same)
-        if not members.isEmpty():
-            found = across(known, members, of, similarity)
-            same = same if found.isEmpty() else _joined(same, found)
-    return same
+        if members.isEmpty():
+            return same
+        bands = banded(with_keys(known.join(members.select("h1").distinct(), "h1", "left_semi").select("h1", "x"), "x", chars, 10, rows, turns))
+        pairs, large = candidates(bands, whole)
+        same = _joined(same, links(known, _apart(pairs, same), of, similarity))
+    members = open_lines(large, same)
+    if members.isEmpty():
+        return same
+    found = within(known, large, members, of, similarity)
+    return same if found.isEmpty() else _joined(same, found)
 
 
 def _free(docs: DataFrame, *names: str) -> list[str]:
