@@ -1,19 +1,15 @@
-"""Fuzzy line dedup: MinHash bands, exact Jaccard, distributed union-find.
+"""Fuzzy line dedup with Spark expressions only: MinHash bands, exact Jaccard, distributed union-find.
 
 Lines are the parts of a text between line feeds, compared trimmed and in
 lower case; blank lines always stay. Equal lines are found by a 128-bit hash.
 The set that stands for a line holds the hashes of its character shingles, the
 ``chars`` characters from each position on; a shorter line is one shingle. The
-hashes are dealt to ``bins`` bins; a band is the ``rows`` least hashes of a
-bin, and lines with an equal band are candidates. Candidates are verified by
+range of hashes is cut into ``bins`` equal bins; a band is the ``rows`` least
+hashes of a bin, and lines with an equal band are candidates. Candidates are verified by
 the exact Jaccard similarity of their sets, links of at least ``similarity``
 go through the union-find, and of each component the line that comes first (by
 doc_id, then place) is kept.
 
-All of this is Spark expressions but for the band keys: shingling every
-position in expressions took more than the CPU that the operator may use, so
-:func:`with_keys` works them out in numpy, a bounded piece of lines at a time.
-
 The pairs of a group of up to ``whole`` lines are all verified. The lines of a
 larger group are first paired with a few anchors (its least and greatest line
 and those of two other orders), which are aggregates, and components are
@@ -34,22 +30,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import drop_kept, keep
 from .components import connected_components
-from .tokens import M1, M2, M3, mix, pieces, rolling
 
 #: Rows of 8 to 24 bytes up to which a counted table is broadcast; beyond that, both sides are shuffled.
 MOST_ROWS = 1_000_000
 _SALTS = 16
-#: Bits of a sort key for the bin; the rest are the hash's.
-_SPOT_BITS = 24
 
 
 def _let(x: Column, f) -> Column:
@@ -64,85 +53,20 @@ def shingles(line: Column, chars: int = 9) -> Column:
     return _let(F.encode(line, "UTF-32"), lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(wide)))))
 
 
-def band_keys(h: np.ndarray, n: np.ndarray, bins: int, rows: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
-    """The band keys of sets of hashes (``n`` of them each, one set behind the other, repeats allowed), and the keys' number for each set.
+def with_bands(rows: DataFrame, hashes: Column, bins: int, rows_of: int) -> DataFrame:
+    """``rows`` and ``keys``: one key for each bin that is not empty, the hash of its ``rows_of`` least values.
 
-    A band is the ``rows`` least distinct hashes of a bin, of as many as it has.
-    Hashes far above the least are left out first. Each turn is another permutation.
+    The bins' lower ends are sorted in among the hashes, so that a bin is what
+    stands between two of them. Where hashes repeat much, repeats go first.
     """
-    owner = np.repeat(np.arange(len(n)), n)
-    assert len(n) * bins < 1 << _SPOT_BITS
-    shift, out, counts = np.uint64(_SPOT_BITS), [], []
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(rows, M3, np.uint64))
-        for turn in range(turns):
-            x = mix(h + np.uint64(turn + 1) * M1)
-            most = np.minimum(4.0 * bins * rows / np.maximum(n, 1), 1.0)
-            few = np.flatnonzero((x >> np.uint64(11)) * 2.0**-53 <= most[owner])
-            own, x = owner[few], x[few]
-            spot = own * bins + ((x & np.uint64(0xFFFF)) * np.uint64(bins) >> np.uint64(16)).astype(np.int64)
-            v = np.unique((spot.astype(np.uint64) << (np.uint64(64) - shift)) | (x >> shift))
-            spot = (v >> (np.uint64(64) - shift)).astype(np.int64)
-            head = np.flatnonzero(np.append(True, spot[1:] != spot[:-1])) if len(v) else np.zeros(0, np.int64)
-            rank = np.arange(len(v)) - np.repeat(head, np.diff(np.append(head, len(v))))
-            # the shift drops the set's place: a key hangs on the hashes alone
-            value = np.where(rank < rows, mix(v << shift) * power[np.minimum(rank, rows - 1)], np.uint64(0))
-            key = np.add.reduceat(value, head) if len(head) else value
-            own, place = np.divmod(spot[head], bins)
-            out.append((own, mix(key + mix((place + bins * turn).astype(np.uint64)))))
-            counts.append(np.bincount(own, minlength=len(n)))
-    own, keys = (np.concatenate(y) for y in zip(*out, strict=True))
-    return keys[np.argsort(own, kind="stable")].view(np.int64), np.sum(counts, axis=0)
-
-
-def line_hashes(line: pa.Array, chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles' hashes of all lines, one line behind the other, and their number for each line (a line shorter than a shingle has one)."""
-    line = line.combine_chunks() if isinstance(line, pa.ChunkedArray) else line
-    line = line.cast(pa.large_string())
-    off = np.frombuffer(line.buffers()[1], np.int64)[line.offset : line.offset + len(line) + 1]
-    raw = line.buffers()[2].to_pybytes()[off[0] : off[-1]]
-    units = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
-    size = np.asarray(pc.utf8_length(line)).astype(np.int64)
-    begin = np.cumsum(size) - size
-    n = np.maximum(size - chars + 1, 1)
-    # a shorter line is padded in a buffer of its own, behind all others
-    short = np.flatnonzero(size < chars)
-    pad = np.zeros((len(short), chars), np.uint64)
-    for k, i in enumerate(short.tolist()):
-        pad[k, : size[i]] = units[begin[i] : begin[i] + size[i]]
-    with np.errstate(over="ignore"):
-        all_ = rolling(mix(np.concatenate([units, pad.ravel()]) + M2), chars)
-    start = begin.copy()
-    start[short] = len(units) + chars * np.arange(len(short))
-    at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
-    return all_[at], n
-
-
-def with_keys(df: DataFrame, column: str, chars: int, bins: int, rows: int, turns: int = 1) -> DataFrame:
-    """``df`` and keys (see :func:`band_keys`) in place of ``column``: a line, or an array of a set's hashes."""
-    keep_ = [c for c in df.columns if c != column]
-    schema = T.StructType([*[df.schema[c] for c in keep_], T.StructField("keys", T.ArrayType(T.LongType()))])
-    plain = isinstance(df.schema[column].dataType, T.StringType)
-
-    def cut(batches):
-        if plain:
-            yield from pieces(batches, column, 1 << 19)
-        else:
-            for b in batches:
-                yield from (b.slice(k, 512) for k in range(0, b.num_rows, 512))
-
-    def run(batches):
-        for b in cut(batches):
-            x = b.column(b.schema.get_field_index(column))
-            if plain:
-                h, n = line_hashes(x, chars)
-            else:
-                h, n = np.asarray(x.flatten()).view(np.uint64), np.asarray(pc.list_value_length(x)).astype(np.int64)
-            keys, k = band_keys(h, n, bins, rows, turns)
-            at = np.concatenate([[0], np.cumsum(k)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep_], pa.ListArray.from_arrays(pa.array(at), pa.array(keys))], [*keep_, "keys"])
-
-    return df.mapInArrow(run, schema)
+    ends = [-(1 << 63) + b * (1 << 64) // bins for b in range(bins)] + [(1 << 63) - 1]
+    marked = rows.withColumn("__s", F.sort_array(F.concat(F.array(*[F.lit(x) for x in ends]), hashes)))
+    head = F.slice("__s", 1, 32)
+    marked = marked.withColumn("__s", F.when(F.size(F.array_distinct(head)) < 0.9 * F.size(head), F.sort_array(F.array_distinct("__s"))).otherwise(F.col("__s")))
+    placed = marked.select("*", *[F.array_position("__s", F.lit(x)).cast("int").alias(f"__p{b}") for b, x in enumerate(ends)])
+    key = lambda b, n: F.when(n > 0, F.xxhash64(F.lit(b), F.slice("__s", F.col(f"__p{b}") + 1, F.least(n, F.lit(rows_of)))))
+    keys = F.array(*[key(b, F.col(f"__p{b + 1}") - F.col(f"__p{b}") - 1) for b in range(bins)])
+    return placed.select(*rows.columns, keys.alias("keys"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -186,18 +110,18 @@ def candidates(bands: DataFrame, whole: int = 8) -> tuple[DataFrame, DataFrame]:
     return out, large
 
 
-def open_lines(large: DataFrame, same: DataFrame) -> DataFrame:
-    """h1 and c (the component) of the lines in groups that still hold several components."""
+def open_groups(large: DataFrame, same: DataFrame) -> DataFrame:
+    """key, h1 and c (the component) of the lines in those groups that still hold several components."""
     named = keep(large.join(same, F.col("h1") == F.col("node"), "left").select("key", "h1", F.coalesce("component", "h1").alias("c")), "named")
     several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-    out = keep(named.join(several, "key", "left_semi").select("h1", "c").distinct(), "open")
+    out = keep(named.join(several, "key", "left_semi"), "open")
     drop_kept(out.sparkSession, named)
     return out
 
 
-def within(sets: DataFrame, large: DataFrame, members: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
-    """a and b: the links between different components inside each group of ``large`` (key, h1); members: h1 and c. Pairs are verified where they meet, so that no other pair is a row."""
-    rows = keep(large.join(members, "h1").join(sets, "h1").select("key", "h1", "c", "n", "x"), "within")
+def within(sets: DataFrame, groups: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
+    """a and b: the links between different components inside each of ``groups`` (key, h1, c). Pairs are verified where they meet, so that no other pair is a row."""
+    rows = keep(groups.join(sets, "h1").select("key", "h1", "c", "n", "x"), "within")
     side = lambda k: rows.select("key", F.col("h1").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("x").alias(f"x{k}"))
     sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
     close = F.size(F.array_intersect(of(F.col("xa")), of(F.col("xb")))) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9
@@ -226,7 +150,7 @@ def _apart(pairs: DataFrame, same: DataFrame) -> DataFrame:
     return both.filter(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
 
 
-def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], of: Callable[[Column], Column], similarity: float, whole: int = 8, chars: int = 9) -> DataFrame:
+def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], of: Callable[[Column], Column], similarity: float, whole: int = 8) -> DataFrame:
     """node and component for each h1 of ``keyed`` (h1, keys) that links to another by a shared key.
 
     ``sets`` gives, for a table of h1, h1 with n, the size of its set, and x, of which ``of`` makes the set.
@@ -244,16 +168,18 @@ def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], of: Callab
         return same
     # groups of many lines fall apart by bands of more values, of which there are more
     for rows, turns in ((8, 4), (16, 16)):
-        members = open_lines(large, same)
-        if members.isEmpty():
+        groups = open_groups(large, same)
+        if groups.isEmpty():
             return same
-        bands = banded(with_keys(known.join(members.select("h1").distinct(), "h1", "left_semi").select("h1", "x"), "x", chars, 10, rows, turns))
+        some = known.join(groups.select("h1").distinct(), "h1", "left_semi")
+        each = some.select("h1", F.explode(F.sequence(F.lit(1), F.lit(turns))).alias("turn"), of(F.col("x")).alias("s"))
+        bands = banded(with_bands(each, F.transform("s", lambda x: F.xxhash64("turn", x)), 10, rows))
         pairs, large = candidates(bands, whole)
         same = _joined(same, links(known, _apart(pairs, same), of, similarity))
-    members = open_lines(large, same)
-    if members.isEmpty():
+    groups = open_groups(large, same)
+    if groups.isEmpty():
         return same
-    found = within(known, large, members, of, similarity)
+    found = within(known, groups, of, similarity)
     return same if found.isEmpty() else _joined(same, found)
 
 
@@ -269,13 +195,13 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, chars: int = 9, bins:
     """The rows of ``docs`` with the lines that stay as text, and n_lines, n_removed."""
     lines = lines_of(docs)
     # hashes and keys of all lines, worked out in one scan of the texts
-    seen = keep(with_keys(lines, "line", chars, bins, rows), "lines")
+    seen = keep(with_bands(lines, shingles(F.col("line"), chars), bins, rows).drop("line"), "lines")
 
     def sets(ids: DataFrame) -> DataFrame:
         some = lines.select("h1", "line").join(_small(ids, most_rows), "h1", "left_semi").dropDuplicates(["h1"])
         return some.select("h1", F.size(F.array_distinct(shingles(F.col("line"), chars))).alias("n"), F.col("line").alias("x"))
 
-    same = similar(seen.select("h1", "keys"), sets, lambda x: shingles(x, chars), similarity, whole, chars)
+    same = similar(seen.select("h1", "keys"), sets, lambda x: shingles(x, chars), similarity, whole)
     # one number for a line's place, by doc, text and position, so that the least of them is a hash aggregate
     wide = lambda c: c.cast("decimal(38,0)")
     doc = F.coalesce(F.col("doc"), F.lit(-(1 << 63)))

@@ -282,26 +282,29 @@ def test_a_large_group_of_near_copies(spark):
     assert joined(spark, sets, [7, 8]) == dict.fromkeys(range(120), 0)
 
 
-def test_bands_find_links_at_the_limit():
+def test_bands_find_links_at_the_limit(spark):
     """Share of pairs of sets of random hashes, just at 0.8 or above, that share a key."""
     rng, rows = np.random.default_rng(3), []
     for n, d in ((18, 2), (22, 2), (30, 3), (60, 6), (200, 22)):
         for i in range(600):
             u = rng.integers(-(1 << 63), (1 << 63) - 1, n + d).tolist()
-            rows.append((n, sorted(u[:n]), sorted(u[d:])))
-    n = np.array([len(r[1]) for r in rows])
-    cut = lambda j: np.split(*(lambda k, c: (k, np.cumsum(c)[:-1]))(*lines.band_keys(np.array([x for r in rows for x in r[j]], np.int64).view(np.uint64), n, 9, 4, 1)))
-    met = np.array([len(np.intersect1d(a, b)) > 0 for a, b in zip(cut(1), cut(2), strict=True)])
-    got = [met[n == k].mean() for k in np.unique(n)]
-    assert len(got) == 5 and min(got) >= 0.985, got
-
-
-def test_keys_hang_on_the_line_alone():
-    given = ["a line of some length, to be cut into bands", "short", "今天天气很好 🙂 and more of it"]
-    keys = lambda x: np.split(*(lambda k, c: (k, np.cumsum(c)[:-1]))(*lines.band_keys(*lines.line_hashes(pa.array(x), 9), 9, 4, 2)))
-    many = keys([f"other {i} " * 9 for i in range(3000)] + given)[-3:]
-    for one, of_many in zip(given, many, strict=True):
-        assert sorted(keys([one])[0].tolist()) == sorted(of_many.tolist())
+            rows.append((n, u[:n], u[d:]))
+    both = spark.createDataFrame(rows, "n int, a array<bigint>, b array<bigint>")
+    one = lines.with_bands(both, F.col("a"), 9, 4).withColumnRenamed("keys", "ka")
+    two = lines.with_bands(one, F.col("b"), 9, 4)
+    got = two.groupBy("n").agg(F.avg(F.arrays_overlap(F.array_compact("ka"), F.array_compact("keys")).cast("int")).alias("r")).collect()
+    assert len(got) == 5 and all(r.r >= 0.985 for r in got), got
+
+
+def test_line_dedup_is_native(spark, odd_docs):
+    found = []
+    keep = lines.keep
+    lines.keep = lambda df, what: (found.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, what))[1]
+    try:
+        found.append(lines.dedup_lines(odd_docs)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        lines.keep = keep
+    assert len(found) > 8 and not re.search("Python|Arrow|Pandas", "".join(found))
 
 
 def test_line_dedup_of_nothing(no_docs):
