@@ -174,6 +174,29 @@ def test_decontamination_of_and_with_nothing(spark, odd_docs, no_docs):
     assert decontam.decontaminate(no_docs, bench).count() == 0
 
 
+def test_decontamination_of_very_long_texts(spark):
+    """Windows carry no words: four texts of 200,000 words, in either way."""
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(200_000))) for i in range(4)]
+    cut = texts[2][1].split(" ")
+    bench = spark.createDataFrame([(1, " ".join(cut[150_000:150_012])), (2, "not there at all")], "item_id bigint, text string")
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    for most in (2_000_000, 0):
+        got = {r.doc_id: (r.n_words, r.n_hit, [tuple(s) for s in r.spans], r["items"]) for r in decontam.decontaminate(docs, bench, 10, most).collect()}
+        assert got == {i: (200_000, 12 * (i == 2), [(150_001, 150_012)] * (i == 2), ["1"] * (i == 2)) for i in range(4)}
+
+
+def test_decontamination_tells_repeated_ids_apart(spark):
+    docs = spark.createDataFrame([(None, "a b c d"), (None, "x y z"), (7, "a b c"), (7, "q"), (7, "q")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit) for r in decontam.decontaminate(docs, bench).collect())
+    assert got == [("7", 1, 0), ("7", 1, 0), ("7", 3, 3), ("None", 3, 0), ("None", 4, 3)]
+
+
+def test_remove_spans(spark):
+    row = spark.range(1).select(decontam.remove_spans(F.split(F.lit("a b c d e"), " "), F.array(F.struct(F.lit(2).alias("from"), F.lit(3).alias("to")))).alias("x")).first()
+    assert row.x == ["a", "d", "e"]
+
+
 def test_decontamination_is_native(spark, odd_docs):
     bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     for df in (decontam.decontaminate(odd_docs, bench), lines.lines_of(odd_docs)):
