@@ -72,7 +72,9 @@ def with_bands(rows: DataFrame, hashes: Column, bins: int, rows_of: int) -> Data
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc, th (these two name the document), pos, line (normalised) and h1, h2 of every line that is not blank."""
     line = F.lower(F.trim(F.col("line")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # named before the lines are made, or each of them would carry its text
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
+    rows = texts.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     rows = rows.select("doc", "th", "pos", line.alias("line")).filter(F.col("line") != "")
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
