@@ -15,9 +15,9 @@ larger group are first paired with a few anchors (its least and greatest line
 and those of two other orders), which are aggregates, and components are
 found. Groups that still hold several components are split by further bands,
 of twice the values and four times as many, and these once more (two lines at
-the limit share none of them with chances of 0.001 and 0.01). In the groups of
-the last ones that still hold several components, all pairs of lines of
-different components are verified.
+the limit share none of them with chances of 0.001 and 0.1, at 0.85 with less
+than 0.01). In the groups of the last ones that still hold several components,
+all pairs of lines of different components are verified.
 
 Edge cases: a null text stays null and has no lines; a null ``doc_id`` comes
 first; rows that repeat both doc_id and text are one document, returned each;
@@ -169,13 +169,13 @@ def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], of: Callab
     if large.isEmpty():
         return same
     # groups of many lines fall apart by bands of more values, of which there are more
-    for rows, turns in ((8, 4), (16, 16)):
+    for bins, rows, turns in ((40, 8, 1), (10, 16, 8)):
         groups = open_groups(large, same)
         if groups.isEmpty():
             return same
         some = known.join(groups.select("h1").distinct(), "h1", "left_semi")
         each = some.select("h1", F.explode(F.sequence(F.lit(1), F.lit(turns))).alias("turn"), of(F.col("x")).alias("s"))
-        bands = banded(with_bands(each, F.transform("s", lambda x: F.xxhash64("turn", x)), 10, rows))
+        bands = banded(keep(with_bands(each, F.transform("s", lambda x: F.xxhash64("turn", x)), bins, rows).select("h1", "keys"), "finer"))
         pairs, large = candidates(bands, whole)
         same = _joined(same, links(known, _apart(pairs, same), of, similarity))
     groups = open_groups(large, same)
