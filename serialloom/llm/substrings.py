@@ -14,9 +14,9 @@ a chance of less than one in 10**3.
 
 Edge cases: a null text has no words; texts shorter than a window stay as they
 are; rows with a null ``doc_id`` come before all others, by a hash of their texts;
-rows that repeat a ``doc_id`` are taken for the same text, which is judged
-once and returned for each; an
-empty table gives an empty result; further columns are ignored.
+rows that repeat a ``doc_id`` with another text are documents of their own, in
+the order of a hash of their texts, those that repeat both are one, returned
+for each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from .tokens import Words, mix, pack, pieces, rolling, unpack
 
 #: Rows without an id are documents below all others, told apart by their text.
 NO_ID = -(1 << 63)
-#: Bytes of compressed input for each block of windows.
-_BLOCK_BYTES = 4 << 20
+#: Bytes of text for each block of windows.
+_BLOCK_BYTES = 6 << 20
 _SCHEMA = "block int, doc bigint, keys binary, docs binary, at binary"
 
 
@@ -40,6 +40,18 @@ def doc_key(docs: DataFrame):
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, doc (a number for each document, in their order) and text; and the bytes of all texts."""
+    th = F.xxhash64("text")
+    by = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(th) != F.max(th)).alias("several"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if by.filter("several").isEmpty():
+        return docs.select("doc_id", doc_key(docs).alias("doc"), "text"), size
+    # a sorted table's row numbers rise with its order
+    known = keep(docs.select(F.col("doc_id").alias("id"), th.alias("th")).distinct().orderBy(F.asc_nulls_first("id"), "th").select("id", "th", F.monotonically_increasing_id().alias("doc")), "numbers")
+    return docs.join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (th == F.col("th"))).select("doc_id", "doc", "text"), size
+
+
 def _batch(block, doc, keys, docs, at) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(doc, pa.int64()), pa.array(keys, pa.binary()), pa.array(docs, pa.binary()), pa.array(at, pa.binary())], ["block", "doc", "keys", "docs", "at"])
 
@@ -68,8 +80,8 @@ def _firsts(keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def removals(docs: DataFrame, width: int, blocks: int) -> DataFrame:
-    """doc (see doc_key) and ``at``, the packed starts of windows that repeat an earlier one; many rows for a document."""
-    rows = docs.select(doc_key(docs).alias("doc"), F.col("text").alias("text"))
+    """doc (see :func:`numbered`) and ``at``, the packed starts of windows that repeat an earlier one; many rows for a document."""
+    rows = docs.select("doc", "text")
 
     def send(batches):
         for b in pieces(batches):
@@ -146,12 +158,10 @@ def intervals(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def dedup_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, removed (array of [from, to) in words) and kept, the words that stay joined by a space."""
-    spark = docs.sparkSession
-    most = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")) if spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB").isdigit() else 16 << 20
-    blocks = max(64, docs.rdd.getNumPartitions() * max(1, most // _BLOCK_BYTES))
-    lost = keep(removals(docs, width, blocks), "removals")
+    own, size = numbered(docs.select("doc_id", F.col("text").alias("text")))
+    blocks = max(16, -(-size // _BLOCK_BYTES))
+    lost = keep(removals(own, width, blocks), "removals")
     lost = lost.groupBy("doc").agg(F.collect_list("at").alias("at"))
-    text = docs.select("doc_id", doc_key(docs).alias("doc"), F.col("text").alias("text"))
 
     def cut(batches):
         for b in pieces(batches):
@@ -173,7 +183,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "removed", "kept"],
             )
 
-    whole = text.join(lost, "doc", "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<binary>")).alias("at"))
+    whole = own.join(lost, "doc", "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<binary>")).alias("at"))
     return whole.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, removed array<struct<from:bigint,to:bigint>>, kept string")
 
 
