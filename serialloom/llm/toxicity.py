@@ -4,7 +4,8 @@ A word's vector is the sum of the embeddings of its hash and of the hashes of
 its first four, five and six bytes, so that inflected forms share most of it.
 Filters of several widths slide over the words, each is max-pooled over the
 whole text, and a logistic layer weighs the maxima. Training takes at most
-``sample`` labelled texts (by a hash of doc_id, whole texts), part of which
+``sample`` labelled texts of ``sample_bytes`` in all (by a hash of doc_id,
+whole texts), so that the driver's memory is bounded; part of them
 fixes where the score crosses 0.5 and the thresholds by language. A score
 depends on the text alone; the language only picks the threshold behind
 ``toxic_by_lang``.
@@ -14,7 +15,8 @@ Edge cases: a null or empty text is scored as a run of padding; a null
 other count as toxic; without labels of both classes every score is the share
 of toxic labels (0 if there are none); languages with few toxic or clean
 labels keep 0.5; repeated rows are scored each; an empty table gives an empty
-result; further columns are ignored.
+result; further columns pass through, but for those that are named as the
+results are, whose place these take.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +41,7 @@ class CnnParams:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
     sample: int = 12_000
+    sample_bytes: int = 128 << 20
     epochs: int = 5
     batch: int = 32
     rate: float = 0.1
@@ -207,8 +210,12 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     p = params or CnnParams()
     known = labels.select("doc_id", F.col("toxic").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id").limit(p.sample)
-    # no more than ``sample`` rows of two numbers
-    rows = docs.select("doc_id", F.col("text").alias("text"), F.col("lang").alias("lang")).join(F.broadcast(known), "doc_id")
+    texts = docs.select("doc_id", F.col("text").alias("text"), F.col("lang").alias("lang"))
+    # no more than ``sample`` rows of two or three numbers
+    sized = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id"))
+    known = sized.withColumn("bytes", before).filter(F.col("bytes") <= p.sample_bytes).select("doc_id", "toxic")
+    rows = texts.join(F.broadcast(known), "doc_id")
 
     def run(batches):
         for b in pieces(batches, "text", 1 << 20):
@@ -224,7 +231,9 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
 def score_texts(docs: DataFrame, model: Cnn, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """The rows of ``docs`` with held_out, score, predicted (score >= 0.5) and toxic_by_lang (the language's threshold)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder))
+    own = ("held_out", "score", "predicted", "toxic_by_lang")
+    passed = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
+    rows = docs.select(*passed, held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_by_lang", T.BooleanType())])
 
     def run(batches):
