@@ -78,19 +78,9 @@ def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .warc import round_trip
-
-    read = round_trip(table(spark, sf_dir, "pages")).filter("kind = 'record'")
-    h = lambda name: F.col("headers")[name]
-    page = lambda name: F.regexp_extract(h(name), r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
-    revisit = h("WARC-Type") == "revisit"
-    return read.select(
-        page("WARC-Record-ID").alias("page_id"),
-        F.when(revisit, h("X-Payload-Length").cast("long")).otherwise(F.length("payload")).cast("long").alias("payload_bytes"),
-        F.when(revisit, F.substring_index(h("WARC-Payload-Digest"), ":", -1)).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
-        h("WARC-Type").alias("record_type"),
-        F.when(revisit, page("WARC-Refers-To")).alias("refers_to"),
-    )
+    from .warc import payloads, round_trip
+
+    return payloads(round_trip(table(spark, sf_dir, "pages")))
 
 
 def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

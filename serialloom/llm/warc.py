@@ -35,8 +35,9 @@ from ..session import keep, scratch_path
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CHUNK = 1 << 20
-#: No member or record longer than this is tried, so that a damaged length does not take all memory.
-MOST = 1 << 30
+#: A version line and headers longer than this are taken for damage; blocks and payloads have no limit but the archive's end.
+HEAD_BYTES = 1 << 20
+_SALTS = 16
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*\r\n")
 _RECORDS = "archive string, kind string, offset bigint, length bigint, reason string, headers map<string,string>, payload binary"
 
@@ -48,7 +49,9 @@ def decide(pages: DataFrame, least: int = 100) -> DataFrame:
     # the digest alone is grouped, and summed before it is shuffled
     copies = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    met = rows.join(copies, "digest", "left")
+    # rows of a very common payload meet its first copy in several parts
+    copies = copies.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int")).join(copies, ["digest", "salt"], "left")
     return met.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
@@ -74,6 +77,11 @@ def record(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _store(name: str):
+    """The file system of a name, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", name))
+
+
 def write_archives(decided: DataFrame, folder: str, compress: bool = True, roll: int = 32 << 20) -> DataFrame:
     """Writes the archives; returns the manifest (archive, records, bytes), which is itself kept."""
 
@@ -81,7 +89,7 @@ def write_archives(decided: DataFrame, folder: str, compress: bool = True, roll:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = _store(folder)
         store.create_dir(top, recursive=True)
         done, out, name, records, size = [], None, "", 0, 0
 
@@ -130,16 +138,17 @@ class Source:
         if at - self.base > CHUNK:
             self.buf, self.base = self.buf[at - self.base :], at
 
-    def find(self, what: bytes, at: int) -> int:
-        """The next place of ``what`` from ``at`` on, or the end as -1."""
+    def find(self, whats: tuple[bytes, ...], at: int) -> int:
+        """The next place of one of ``whats`` from ``at`` on, or the end as -1; what lies before is let go."""
         n = CHUNK
         while True:
+            self.drop(at)
             part = self.get(at, n)
-            if (k := part.find(what)) >= 0:
-                return at + k
+            if places := [k for what in whats if (k := part.find(what)) >= 0]:
+                return at + min(places)
             if len(part) < n:
                 return -1
-            at += n - len(what) + 1
+            at += n - max(map(len, whats)) + 1
 
     def end(self) -> int:
         while not self.ended:
@@ -177,57 +186,56 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return head, block
 
 
-def _plain(src: Source, at: int) -> tuple[int, bytes]:
+def _plain(src: Source, at: int, end: int | None) -> tuple[int, bytes]:
     n = 4096
     while True:
         part = src.get(at, n)
-        m = _HEAD.match(part)
-        if m or len(part) < n or n > MOST:
+        m = _HEAD.match(part) if part.startswith(b"WARC/1.") else None
+        if m or len(part) < n or n >= HEAD_BYTES or not part.startswith(b"WARC/1."):
             break
         n *= 4
     if not m:
         raise Damaged("version line or headers")
-    size = re.search(rb"\r\nContent-Length: *(\d{1,12})\r\n", m[0], re.IGNORECASE)
-    if not size or int(size[1]) > MOST:
+    size = re.search(rb"\r\nContent-Length: *(\d{1,18})\r\n", m[0], re.IGNORECASE)
+    if not size:
         raise Damaged("Content-Length")
     n = m.end() + int(size[1]) + 4
+    if end is not None and at + n > end:  # known before the bytes are read
+        raise Damaged("block's length")
     return n, src.get(at, n)
 
 
-def _member(src: Source, at: int) -> tuple[int, bytes]:
+def _member(src: Source, at: int, end: int | None) -> tuple[int, bytes]:
     z, out, k = zlib.decompressobj(31), [], at
-    size = 0
     try:
         while not z.eof:
             part = src.get(k, 1 << 16)
             if not part:
                 raise Damaged("member is cut off")
             out.append(z.decompress(part))
-            size += len(out[-1])
-            if size > MOST:
-                raise Damaged("member is too long")
             k += len(part)
     except zlib.error as e:
         raise Damaged(f"member: {e}") from e
     return k - len(z.unused_data) - at, b"".join(out)
 
 
-def read_records(stream) -> Iterator[dict]:
-    """Records (kind, offset, length, headers, block) and gaps (kind, offset, length, reason) of an archive, in order."""
+def read_records(stream, end: int | None = None) -> Iterator[dict]:
+    """Records (kind, offset, length, headers, block) and gaps (kind, offset, length, reason) of an archive of ``end`` bytes, in order."""
     src = Source(stream)
     at, bad, reason = 0, None, ""
-    packed = src.get(0, 2) == b"\x1f\x8b" or (src.find(b"\x1f\x8b\x08", 0) >= 0 and src.find(b"WARC/1.", 0) < 0)
-    src = src if src.base == 0 else Source(stream)
-    while src.get(at, 1):
+    gzip, plain = b"\x1f\x8b\x08", b"WARC/1."
+    if src.get(0, 1) and not src.get(0, len(plain)).startswith((gzip, plain)):
+        bad, reason = 0, "no record at the start"
+        at = src.find((gzip, plain), 0)
+    packed = at >= 0 and src.get(at, 3) == gzip
+    while at >= 0 and src.get(at, 1):
         try:
-            n, raw = (_member if packed else _plain)(src, at)
+            n, raw = (_member if packed else _plain)(src, at, end)
             head, block = parse(raw)
         except Damaged as e:
             if bad is None:
                 bad, reason = at, str(e)
-            at = src.find(b"\x1f\x8b\x08" if packed else b"WARC/1.", at + 1)
-            if at < 0:
-                break
+            at = src.find((gzip if packed else plain,), at + 1)
             continue
         if bad is not None:
             yield {"kind": "gap", "offset": bad, "length": at - bad, "reason": reason}
@@ -245,10 +253,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for name in b.column("archive").to_pylist():
-                store, path = fs.FileSystem.from_uri(name)
+                store, path = _store(name)
+                end = store.get_file_info(path).size
                 rows, size = [], 0
                 with store.open_input_stream(path, compression=None) as stream:
-                    for r in read_records(stream):
+                    for r in read_records(stream, end):
                         payload = r["block"].partition(b"\r\n\r\n")[2] if "block" in r else None
                         rows.append((name, r["kind"], r["offset"], r["length"], r.get("reason"), list(r["headers"].items()) if "headers" in r else None, payload))
                         size += len(payload or b"")
@@ -276,6 +285,32 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     return read_archives(write_archives(decide(pages), folder))
 
 
+def payloads(read: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each record of :func:`read_archives`.
+
+    Of a revisit, size and digest are those of the payload that its response
+    was read back with. A gap is an error, as its records are lost.
+    """
+    h = lambda name: F.col("headers")[name]
+    page = lambda name: F.regexp_extract(h(name), r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
+    lost = F.raise_error(F.concat(F.lit("damaged bytes in "), "archive", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "reason"))
+    own = read.select(
+        F.when(F.col("kind") == "record", page("WARC-Record-ID")).otherwise(lost.cast("bigint")).alias("page_id"),
+        h("WARC-Type").alias("record_type"),
+        page("WARC-Refers-To").alias("refers_to"),
+        F.octet_length("payload").cast("long").alias("n"),
+        F.sha2("payload", 256).alias("digest"),
+    )
+    own = keep(own, "payloads")
+    revisit = F.col("record_type") == "revisit"
+    first = own.filter(~revisit & F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("first")).agg(F.min("n").alias("first_n"), F.min("digest").alias("first_digest"))
+    first = first.join(own.filter(revisit).select(F.col("refers_to").alias("first")).distinct(), "first", "left_semi")
+    first = first.select("*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("part"))
+    met = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(_SALTS)).cast("int")).join(first, revisit & (F.col("refers_to") == F.col("first")) & (F.col("salt") == F.col("part")), "left")
+    pick = lambda a, b: F.when(revisit, F.col(a)).otherwise(F.col(b))
+    return met.select("page_id", pick("first_n", "n").alias("payload_bytes"), pick("first_digest", "digest").alias("payload_digest"), "record_type", F.when(revisit, F.col("refers_to")).alias("refers_to"))
+
+
 SQL = r"""
 WITH p AS (
     SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
