@@ -80,10 +80,10 @@ def slots(spark: SparkSession, plan: Sequence[tuple[int, int, int]], shard_slots
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, block: int = 64, shard_slots: int = 16_384, seed: int = 17, bucket_rows: int = 4_000) -> dict[str, DataFrame]:
     """``documents``: doc_id, size, source_size, target, taken, source; ``slots``: src, slot, shard, block;
-    ``pieces``: src, block, row, from_word and n (the words that a document has in a block); ``sources``."""
+    ``pieces``: src, block, row, place, from_word and n (the words that a document has in a block); ``sources``; ``rows``: row, doc_id, th."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = keep(docs.select("doc_id", F.col("source").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    sized = keep(docs.select("doc_id", F.col("source").alias("source"), size.alias("size"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row")), "sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
     docs_of = {r["source"]: r["docs"] for r in found}
     told = targets([(r["source"], r["size"]) for r in found], weights, most)
@@ -97,20 +97,31 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: flo
     sources = spark.createDataFrame(rows, "src int, name string, source_size bigint, target double, buckets int")
     # one row per source, as many as the mixture names
     own = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["name"])).drop("name")
-    own = own.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("buckets")).cast("int"))
+    own = own.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "th"), F.col("buckets")).cast("int"))
     filled = own.filter(F.col("size") > 0)
     by_bucket = filled.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = by_bucket.select("src", "bucket", before.alias("base"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("src", "bucket").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "doc_id"), "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("src", "bucket").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "th"), "doc_id", "th", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = filled.select("src", "bucket", "row", "size", inside.alias("inside")).join(base, ["src", "bucket"]).select("src", "row", "size", (F.col("base") + F.col("inside")).alias("at"))
     first, last = (F.col("at") / block).cast("long"), ((F.col("at") + F.col("size") - 1) / block).cast("long")
     pieces = placed.select("*", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest(F.col("block") * block, F.col("at"))
-    pieces = pieces.select("src", "block", "row", (begin - F.col("at")).alias("from_word"), (F.least(F.col("block") * block + block, F.col("at") + F.col("size")) - begin).alias("n"))
+    pieces = pieces.select("src", "block", "row", F.col("at").alias("place"), (begin - F.col("at")).alias("from_word"), (F.least(F.col("block") * block + block, F.col("at") + F.col("size")) - begin).alias("n"))
     drawn = slots(spark, plan, shard_slots, seed)
     used = drawn.groupBy("src", "block").agg(F.count("*").alias("times"))
     # slots are made up from one row per source, so their size can't be estimated: without the hint they would be broadcast
     taken = pieces.join(used.hint("merge"), ["src", "block"]).groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     out = own.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
-    return {"documents": out, "slots": drawn, "pieces": pieces, "sources": sources}
+    return {"documents": out, "slots": drawn, "pieces": pieces, "sources": sources, "rows": sized.select("row", "doc_id", "th")}
+
+
+def mixed_blocks(docs: DataFrame, mix: dict[str, DataFrame]) -> DataFrame:
+    """shard, slot, src and text of every block that the mix takes: its words, joined by a space. mix: what :func:`mix_sources` gave for ``docs``."""
+    th = F.xxhash64("text")
+    texts = docs.select(F.col("doc_id").alias("id"), th.alias("own"), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("w")).dropDuplicates(["id", "own"])
+    pieces = mix["pieces"].join(mix["rows"], "row")
+    cut = pieces.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("own"))).select("src", "block", "place", F.array_join(F.slice("w", (F.col("from_word") + 1).cast("int"), F.col("n").cast("int")), " ").alias("part"))
+    # a block has no more parts than words
+    blocks = cut.groupBy("src", "block").agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", "part")))["part"], " ").alias("text"))
+    return mix["slots"].join(blocks.hint("merge"), ["src", "block"]).select("shard", "slot", "src", "text")

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -98,6 +99,21 @@ def test_mix_takes_whole_blocks(odd_docs):
     assert mix["documents"].agg(F.sum("taken")).first()[0] == want
 
 
+def test_mixed_blocks_hold_what_was_taken(spark, texts):
+    """Brute force: the words of every mixed block, told apart by their document."""
+    rows = [(i, " ".join(f"{k}_{j}" for j in range(len((t or "").split()))), f"s{k % 3}") for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mix = mixing.mix_sources(docs, block=16)
+    blocks = mixing.mixed_blocks(docs, mix).collect()
+    assert len(blocks) == mix["slots"].count() and max(len(b.text.split(" ")) for b in blocks) == 16
+    by_doc, by_id, taken = Counter(int(w.split("_")[0]) for b in blocks for w in b.text.split(" ")), Counter(), Counter()
+    for k, n in by_doc.items():
+        by_id[rows[k][0]] += n
+    for r in mix["documents"].collect():
+        taken[r.doc_id] += r.taken
+    assert by_id == +taken and sum(taken.values()) > 30_000
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(2)
@@ -128,6 +144,14 @@ def test_toxicity(spark, labelled):
     assert np.allclose(again.embed, model.embed)
 
 
+def test_toxicity_beside_columns_of_the_same_names(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.learn(docs, labels, params=toxicity.CnnParams(buckets=256, epochs=1, sample=50, sample_bytes=4_000))
+    odd = docs.withColumns({"Score": F.lit("x"), "predicted": F.lit(None), "toxic_by_lang": F.lit(3), "held_out": F.lit("y"), "more": F.lit(1)})
+    out = toxicity.score_texts(odd, model)
+    assert out.columns == ["doc_id", "text", "lang", "more", "held_out", "score", "predicted", "toxic_by_lang"] and out.count() == docs.count()
+
+
 def test_toxicity_without_labels(labelled):
     docs, labels = labelled
     model = toxicity.learn(docs, labels.limit(0))
@@ -213,6 +237,50 @@ def test_salvage(compress, harm):
     assert list(warc.read_records(io.BytesIO(b""))) == []
 
 
+class Counted(io.BytesIO):
+    most = 0
+
+    def read(self, n=-1):
+        self.most = max(self.most, n)
+        return super().read(n)
+
+
+def test_plain_archives_are_read_in_chunks():
+    """An archive of many records, and one with long damage: no more than a few chunks are held."""
+    parts = archive(8, False)
+    for raw, n in ((b"".join(parts) * 4000, 32_000), (b"?" * (40 << 20) + parts[0] + b"!" * (20 << 20) + parts[1], 2)):
+        src = Counted(raw)
+        held, drop = 0, warc.Source.drop
+        sizes = []
+        warc.Source.drop = lambda self, at: (sizes.append(len(self.buf)), drop(self, at))[1]
+        try:
+            got = [r["kind"] for r in warc.read_records(src, len(raw))]
+        finally:
+            warc.Source.drop = drop
+        assert got.count("record") == n and max(sizes) <= 3 << 20 and src.most <= 2 << 20, (held, max(sizes))
+
+
+def test_a_length_beyond_the_archive_is_damage():
+    parts = archive(3, False)
+    raw = parts[0] + re.sub(rb"Content-Length: \d+", b"Content-Length: 99999999999", parts[1]) + parts[2]
+    src = Counted(raw)
+    got = [(r["kind"], r.get("reason")) for r in warc.read_records(src, len(raw))]
+    assert got == [("record", None), ("gap", "block's length"), ("record", None)]
+
+
+def test_a_gap_fails_the_round_trip_and_revisits_follow_their_response(spark, pages, tmp_path):
+    manifest = warc.write_archives(warc.decide(pages), f"file://{tmp_path}", False)
+    read = warc.read_archives(manifest)
+    rows = warc.payloads(read).collect()
+    assert len(rows) == pages.count() and {r.record_type for r in rows} == {"response", "revisit"}
+    name = manifest.orderBy(F.desc("records")).first().archive.removeprefix("file://")
+    raw = bytearray(open(name, "rb").read())
+    raw[raw.index(b"WARC-Type") - 5] ^= 0xFF
+    open(name, "wb").write(raw)
+    with pytest.raises(Exception, match="damaged bytes in"):
+        warc.payloads(read).count()
+
+
 def test_warc_of_nothing(pages, tmp_path):
     assert warc.read_archives(warc.write_archives(warc.decide(pages.limit(0)), f"file://{tmp_path}")).count() == 0
 

@@ -139,6 +139,16 @@ def test_simhash_of_nothing(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_substrings_of_rows_that_repeat_an_id(spark):
+    a, b = " ".join("abcdefgh"), " ".join("stuvwxyz")
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, a + " tail"), (None, b + " end")]
+    got = sorted(((r.doc_id, r.kept) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).collect()), key=repr)
+    assert got == sorted([(1, ""), (2, ""), (2, ""), (2, ""), (None, a + " tail"), (None, b + " end")], key=repr)
+    rows = [(1, a), (2, a), (2, b)]
+    got = sorted((r.doc_id, r.kept) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).collect())
+    assert got == [(1, a), (2, ""), (2, b)]
+
+
 def decontaminated(texts, items, n):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     grams = {}
