@@ -97,7 +97,7 @@ def banded(keyed: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
 def candidates(bands: DataFrame, whole: int = 8) -> tuple[DataFrame, DataFrame]:
     """a < b (h1 of two lines): pairs that share a band; and key and h1 of the groups of over ``whole`` lines, which are paired with anchors only."""
     order = lambda c, k: F.xxhash64(F.lit(k), c)
-    groups = keep(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("most")), "groups")
+    groups = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("least"), F.max("h1").alias("most"))
     met = keep(bands.join(groups.filter("n > 2"), "key"), "met")
     few = met.filter(F.col("n") <= whole).groupBy("key").agg(F.collect_list("h1").alias("all"))
     few = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
@@ -107,18 +107,15 @@ def candidates(bands: DataFrame, whole: int = 8) -> tuple[DataFrame, DataFrame]:
     tied = tied.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b"))
     pairs = groups.filter("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b")).unionByName(few).unionByName(tied)
     out, large = keep(pairs.distinct(), "pairs"), keep(many.select("key", "h1"), "large")
-    for x in (groups, met):
-        drop_kept(out.sparkSession, x)
+    drop_kept(out.sparkSession, met)
     return out, large
 
 
 def open_groups(large: DataFrame, same: DataFrame) -> DataFrame:
     """key, h1 and c (the component) of the lines in those groups that still hold several components."""
-    named = keep(large.join(same, F.col("h1") == F.col("node"), "left").select("key", "h1", F.coalesce("component", "h1").alias("c")), "named")
+    named = large.join(same, F.col("h1") == F.col("node"), "left").select("key", "h1", F.coalesce("component", "h1").alias("c"))
     several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-    out = keep(named.join(several, "key", "left_semi"), "open")
-    drop_kept(out.sparkSession, named)
-    return out
+    return keep(named.join(several, "key", "left_semi"), "open")
 
 
 def within(sets: DataFrame, groups: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:

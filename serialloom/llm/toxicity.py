@@ -224,8 +224,15 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("toxic").cast(pa.int32()), b.column("lang").cast(pa.string()), pa.array([pack(f.ravel()) for f in np.split(feats, cut)], pa.binary())], ["doc_id", "toxic", "lang", "words"])
 
     got = rows.mapInArrow(run, "doc_id bigint, toxic int, lang string, words binary").toArrow().sort_by("doc_id")
-    texts = [unpack(x).reshape(-1, 1 + len(PREFIXES)) for x in got.column("words").to_pylist()]
-    return train(texts, np.asarray(got.column("toxic")).astype(np.int64).reshape(-1), got.column("lang").to_pylist(), p)
+    packed = got.column("words").combine_chunks().cast(pa.large_binary())
+    off = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    raw = packed.buffers()[2]
+    # views of the one table that came, not copies
+    texts = [unpack(raw.slice(a, z - a)).reshape(-1, 1 + len(PREFIXES)) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    model = train(texts, np.asarray(got.column("toxic")).astype(np.int64).reshape(-1), got.column("lang").to_pylist(), p)
+    del texts, packed, raw, got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_texts(docs: DataFrame, model: Cnn, modulus: int = 5, remainder: int = 0) -> DataFrame:
