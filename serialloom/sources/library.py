@@ -54,6 +54,9 @@ def open_library(spark: SparkSession, folder: str) -> Library:
     """The current snapshot; an empty library where there is none. Columns that an older snapshot lacks are null."""
     _, p, fs = _fs(spark, f"{folder}/CURRENT")
     if not fs.exists(p):
+        top = p.getParent()
+        if fs.exists(top) and any(x.getPath().getName().startswith("snapshot-") for x in fs.listStatus(top)):
+            raise LibraryError(f"{folder} holds snapshots, but nothing says which is current")
         return Library.empty(spark)
     name = spark.read.text(f"{folder}/CURRENT").first()[0]
     found = {}
@@ -76,10 +79,13 @@ def save_library(library: Library, folder: str) -> str:
     out = fs.create(new, True)
     out.write(bytearray(name.encode() + b"\n"))
     out.close()
+    # one step, so that a crash leaves the old pointer or the new one
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
     now = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
-    if fs.exists(now):
-        fs.delete(now, False)
-    fs.rename(new, now)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(new), fs.makeQualified(now), how)
     return name
 
 

@@ -159,7 +159,7 @@ def test_books(lib, tmp_path):
     assert sorted((r.path, r.chapters) for r in got) == [("Ann/First/First.epub", 1), ("Bo/Second/Second.epub", 2)]
     with zipfile.ZipFile(tmp_path / "Bo/Second/Second.epub") as z:
         assert z.namelist()[0] == "mimetype"
-        assert "Unavailable chapter number(s): 3." in z.read("OEBPS/missing.xhtml").decode()
+        assert "<p>By number: 3</p>" in z.read("OEBPS/missing.xhtml").decode()
         assert "<h1>Chapter 1: t</h1>" in z.read("OEBPS/chapter_00001.xhtml").decode()
     vols = export.volumes(lib.chapters, 1)
     assert rows(vols, "novel_id", "volume") == [(1, 1), (5, 1), (5, 2)]
@@ -184,3 +184,26 @@ def test_config_and_profiles(spark, tmp_path):
     with pytest.warns(UserWarning, match="b.ini"):
         got = config.profiles(spark, str(tmp_path))
     assert rows(got, "name", "host", "max_toc_pages") == [("A", "a.org", 500)]
+
+
+def test_a_lost_pointer_is_no_empty_library(spark, tmp_path):
+    import os
+
+    from serialloom.sources.library import Library, LibraryError, open_library, save_library
+
+    folder = str(tmp_path / "lib")
+    save_library(Library.empty(spark), folder)
+    save_library(open_library(spark, folder), folder)
+    assert sorted(x for x in os.listdir(folder) if not x.startswith(("snapshot-", "."))) == ["CURRENT"]
+    os.remove(f"{folder}/CURRENT")
+    with pytest.raises(LibraryError):
+        open_library(spark, folder)
+
+
+def test_books_with_equal_names_stay_apart(spark, tmp_path):
+    from serialloom.operators.export import write_books
+
+    rows = [("a/b.epub", n, "B", "A", 1, "c.xhtml", "h", "<p/>") for n in (1, 2)] + [("a/c.epub", 3, "C", "A", 1, "c.xhtml", "h", "<p/>")]
+    docs = spark.createDataFrame(rows, "path string, novel_id bigint, title string, author string, place bigint, file string, heading string, xhtml string")
+    got = {r.path: r.chapters for r in write_books(docs, str(tmp_path)).collect()}
+    assert got == {"a/b (1).epub": 1, "a/b (2).epub": 1, "a/c.epub": 1}
