@@ -159,7 +159,7 @@ def intervals(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 def dedup_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, removed (array of [from, to) in words) and kept, the words that stay joined by a space."""
     own, size = numbered(docs.select("doc_id", F.col("text").alias("text")))
-    blocks = max(16, -(-size // _BLOCK_BYTES))
+    blocks = max(64, -(-size // _BLOCK_BYTES))
     lost = keep(removals(own, width, blocks), "removals")
     lost = lost.groupBy("doc").agg(F.collect_list("at").alias("at"))
 
