@@ -36,6 +36,8 @@ SEGMENT = 128
 BLOCK = 1024
 _TOKENS = "piece string, doc_ids array<bigint>, held binary, lens binary, words binary, tokens binary"
 _PIECE_BYTES = 2 << 20
+#: Tokens that the recursions run over at once; only a longer text takes more.
+_RUN = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -168,6 +170,17 @@ def class_masses(counts: DataFrame, symbols: int) -> tuple[int, int, np.ndarray]
     return sum(r.n for r in rows), sum(r.v for r in rows), mass
 
 
+def runs(lens: np.ndarray, most: int = _RUN):
+    """Slices of texts and of their tokens: as many texts as hold ``most`` tokens, or a single one."""
+    ends = np.cumsum(lens)
+    a = 0
+    while a < len(lens):
+        base = int(ends[a - 1]) if a else 0
+        z = max(a + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield slice(a, z), slice(base, int(ends[z - 1]))
+        a = z
+
+
 class Segments:
     """Texts, as runs of symbols one behind the other, cut into segments of at most SEGMENT symbols, longest first."""
 
@@ -295,8 +308,11 @@ def baum_welch(tokens: DataFrame, mass: np.ndarray, unseen: float, p: HmmParams)
                     take = ~piece.held & (piece.share(part) if part < 1 else True)
                     if take.any():
                         sym = piece.classes(len(ratio))[piece.tokens[np.repeat(take, piece.lens)]]
-                        a, b, d, e = expected(sym, piece.lens[take], start, move, ratio)
-                        c, m, f, total = c + a, m + b, f + d, total + e
+                        lens = piece.lens[take]
+                        for texts, at in runs(lens):
+                            a, b, d, e = expected(sym[at], lens[texts], start, move, ratio)
+                            c += a
+                            m, f, total = m + b, f + d, total + e
                 for k in range(0, len(ratio), BLOCK):
                     yield pa.RecordBatch.from_pydict({"k": pa.array([k // BLOCK], pa.int32()), "x": [c[k : k + BLOCK].tobytes()]})
                 yield pa.RecordBatch.from_pydict({"k": pa.array([-1], pa.int32()), "x": [np.concatenate([m.ravel(), f, [total]]).tobytes()]})
@@ -345,7 +361,8 @@ def score_corpus(docs: DataFrame, modulus: int = 7, remainder: int = 2, params:
             logs = np.log10((c + 1) / (n + v + 1))
             base = np.add.reduceat(logs[piece.tokens], piece.first[:-1])
             known = np.add.reduceat((c > 0)[piece.tokens].astype(np.int64), piece.first[:-1])
-            total = boundaries(sym[piece.tokens], Segments(piece.lens), start, move, ratio)[2]
+            sym = sym[piece.tokens]
+            total = np.concatenate([boundaries(sym[at], Segments(piece.lens[texts]), start, move, ratio)[2] for texts, at in runs(piece.lens)])
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(piece.doc_ids, pa.int64()),
