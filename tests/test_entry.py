@@ -36,7 +36,7 @@ def test_entry_gives_rows(spark):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no supplied tables")
-@pytest.mark.parametrize("name", ["library_gaps", "ranked_pick", "retention_purge", "repair_plan", "migration_outcome", "chapter_xhtml", "subs_report"])
+@pytest.mark.parametrize("name", ["library_gaps", "ranked_pick", "retention_purge", "repair_plan", "migration_outcome", "chapter_xhtml", "subs_report", "chapter_title_forms", "page_title_forms", "visible_positions"])
 def test_queries_agree_with_their_sql(spark, name):
     import __spark_entry__ as e
 
