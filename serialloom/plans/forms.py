@@ -86,7 +86,7 @@ def valid_numbers(spark, d):
 
 
 @query("WITH s AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS parts FROM documents WHERE text IS NOT NULL) SELECT doc_id, substr(parts[1], 1, 90) AS opening, len(parts) AS n_parts FROM s")
-def openings(spark, d):
+def document_openings(spark, d):
     """How each document begins, and its paragraphs."""
     parts = text.split_body(F.col("text"))
     return a.table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", text.preview(parts).alias("opening"), F.size(parts).cast("long").alias("n_parts"))
