@@ -89,12 +89,30 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import coded, compress
+
+    return coded(compress(table(spark, sf_dir, "embeddings")))
+
+
+def op13_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketches import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op1_multi_index_hashing, op2_substring_dedup, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_source_mixing, op8_toxicity_cnn, op9_warc_round_trip, op10_hmm_scores)}
+    found = {f.__name__: f for f in (op1_multi_index_hashing, op2_substring_dedup, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_line_dedup, op6_chat_formatting, op7_source_mixing, op8_toxicity_cnn, op9_warc_round_trip, op10_hmm_scores, op11_filter_audit, op12_elkan_codes, op13_scaled_sketches)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, decontam, substrings, warc
+    from . import audit, chat, codes, decontam, substrings, warc
 
-    return {"op2_substring_dedup": substrings.SQL, "op4_benchmark_decontamination": decontam.SQL, "op6_chat_formatting": chat.SQL, "op9_warc_round_trip": warc.SQL}
+    return {"op2_substring_dedup": substrings.SQL, "op4_benchmark_decontamination": decontam.SQL, "op6_chat_formatting": chat.SQL, "op9_warc_round_trip": warc.SQL, "op11_filter_audit": audit.SQL, "op12_elkan_codes": codes.SQL}
