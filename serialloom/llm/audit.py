@@ -133,7 +133,8 @@ def failure_masks(docs: DataFrame) -> DataFrame:
     """doc_id, part, mask and n: how many rows of that id and part fail just those filters (bit 0 for A to bit 4 for E)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))).rdd
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.getNumPartitions())  # with the input
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // HELD))  # a route holds about as much as a task does before
     routed = texts.mapPartitions(_route).repartitionAndSortWithinPartitions(n, lambda key: key % n)
     rows = spark.createDataFrame(routed.mapPartitions(_judge), "doc_id bigint, part string, mask int, n bigint", verifySchema=False)
     return rows.groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n"))
@@ -142,8 +143,8 @@ def failure_masks(docs: DataFrame) -> DataFrame:
 def mask_vectors(masks: DataFrame, labels: DataFrame):
     """An RDD of (part, vector): rows, good rows and toxic rows by mask, 3 x 32."""
     said = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    # ids have been summed, so that none is in the join more often than by part and mask
-    met = masks.filter("doc_id IS NOT NULL").join(said.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "left").unionByName(masks.filter("doc_id IS NULL").withColumns({"good": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")}))
+    # rows have been summed by id, so that none, null included, is in the join more often than by part and mask
+    met = masks.join(said.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "left")
     small = met.select("part", "mask", "n", F.coalesce("good", F.lit(0)), F.coalesce("toxic", F.lit(0)))
 
     def add(vector, x):
