@@ -29,7 +29,7 @@ def _marked(lib: Library, key: str, value: int) -> DataFrame:
     return _append(lib.meta.filter(F.col("key") != key), (key, str(value)))
 
 
-def subscribe(lib: Library, title: str, source_name: str, url: str, now, author: str | None = None, cover_url: str | None = None, genre: str | None = None, status_hint: str = "unknown", force: bool = True) -> tuple[Library, int]:
+def subscribe(lib: Library, title: str, source_name: str, url: str, now, author: str | None = None, cover_url: str | None = None, genre: str | None = None, status_hint: str = "unknown", force: bool = False) -> tuple[Library, int]:
     """A new novel with a primary source. A known URL, or the same title and author, is refused; so is a like title unless forced."""
     if not lib.sources.filter(F.col("url") == url).isEmpty():
         raise LibraryError(f"already subscribed: {url}")
@@ -134,9 +134,11 @@ def refresh_metadata(novels: DataFrame, meta: DataFrame, now) -> tuple[DataFrame
     return met.select(*[new.get(c, F.col(c)).alias(c) for c in novels.columns]), changed
 
 
-def mark_exported(chapters: DataFrame, novel_ids: list[int], now) -> DataFrame:
-    hit = F.col("novel_id").isin(novel_ids)
-    return chapters.withColumn("exported", F.col("exported") | hit).withColumn("exported_at", F.when(hit, F.lit(now).cast("timestamp")).otherwise(F.col("exported_at")))
+def mark_exported(chapters: DataFrame, novels: DataFrame, now) -> DataFrame:
+    """All chapters of these novels (novel_id) as exported now, those that were so before too."""
+    met = chapters.join(novels.select("novel_id").distinct().withColumn("hit", F.lit(True)), "novel_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    new = {"exported": F.col("exported") | F.col("hit"), "exported_at": F.when(F.col("hit"), F.lit(now).cast("timestamp")).otherwise(F.col("exported_at"))}
+    return met.select(*[new.get(c, F.col(c)).alias(c) for c in chapters.columns])
 
 
 def unsubscribe(lib: Library, novel_id: int) -> Library:

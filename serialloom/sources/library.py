@@ -1,23 +1,19 @@
-"""The library on disk: one Parquet folder per table and snapshot, and a pointer to the snapshot that counts.
-
-Plain Parquet has no transactions, so a pass writes new folders and swaps the
-pointer last: readers see all of it or none.
-"""
+"""The library: five tables, in memory or on disk, where a version names the files that count (see :mod:`.ledger`)."""
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, normalize_title, split_body
+from . import ledger
 from .schemas import TABLES
 
 
-class LibraryError(Exception):
-    pass
+#: Whatever is refused about a library, by a change or by its commit.
+LibraryError = ledger.LedgerError
 
 
 @dataclass(frozen=True)
@@ -44,49 +40,18 @@ class Library:
         return {k: getattr(self, k) for k in TABLES}
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def open_library(spark: SparkSession, folder: str) -> Library:
-    """The current snapshot; an empty library where there is none. Columns that an older snapshot lacks are null."""
-    _, p, fs = _fs(spark, f"{folder}/CURRENT")
-    if not fs.exists(p):
-        top = p.getParent()
-        if fs.exists(top) and any(x.getPath().getName().startswith("snapshot-") for x in fs.listStatus(top)):
-            raise LibraryError(f"{folder} holds snapshots, but nothing says which is current")
-        return Library.empty(spark)
-    name = spark.read.text(f"{folder}/CURRENT").first()[0]
-    found = {}
-    for table, ddl in TABLES.items():
-        want = spark.createDataFrame([], ddl).schema
-        found[table] = spark.read.schema(want).option("mergeSchema", "true").parquet(f"{folder}/{name}/{table}")
-    return Library(**found)
-
-
-def save_library(library: Library, folder: str) -> str:
-    """Writes a snapshot, checks it, and makes it the current one. Returns its name."""
-    spark = library.novels.sparkSession
-    name = f"snapshot-{uuid.uuid4().hex}"
+def open_library(spark: SparkSession, folder: str, version: int | None = None) -> Library:
+    """The last version, or an older one; an empty library where there is none. Columns that an older file lacks are null."""
+    found = ledger.version_at(spark, folder, version)
+    return Library.empty(spark) if found is None else Library(**ledger.tables_at(spark, folder, found))
+
+
+def save_library(library: Library, folder: str) -> int:
+    """All tables anew, as one version: for a first load or a restore. A pass over a part of it is a :class:`ledger.Pass`."""
+    now = ledger.begin(library.novels.sparkSession, folder)
     for table, df in library.tables().items():
-        df.write.parquet(f"{folder}/{name}/{table}")
-    written = Library(**{t: spark.read.parquet(f"{folder}/{name}/{t}") for t in TABLES})
-    if bad := [r["rule"] for r in violations(written).filter("n > 0").collect()]:
-        raise LibraryError(f"the snapshot breaks {', '.join(bad)}")
-    jvm, new, fs = _fs(spark, f"{folder}/CURRENT.new")
-    out = fs.create(new, True)
-    out.write(bytearray(name.encode() + b"\n"))
-    out.close()
-    # one step, so that a crash leaves the old pointer or the new one
-    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    how = spark.sparkContext._gateway.new_array(kind, 1)
-    how[0] = kind.OVERWRITE
-    now = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(new), fs.makeQualified(now), how)
-    return name
+        now.replace(table, df)
+    return now.commit("save")
 
 
 def violations(lib: Library) -> DataFrame:

@@ -13,3 +13,6 @@ DISCOVERY_ERRORS = "novel_id bigint, source_id bigint, mode string, message stri
 FETCHED = "novel_id bigint, source_id bigint, number bigint, outcome string, title string, paragraphs array<string>, message string"
 
 TABLES = {"novels": NOVELS, "sources": SOURCES, "chapters": CHAPTERS, "chapter_gaps": GAPS, "meta": META}
+
+#: 0: snapshots under a pointer, without later columns; 1: the columns above; 2: marks in meta, so that ids of deleted rows are not given again.
+SCHEMA = 2

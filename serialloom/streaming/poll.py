@@ -1,8 +1,8 @@
 """An extension: the scheduled poll as a stream of observations.
 
-Each micro-batch of fetched outcomes is one incremental pass that inserts what
-is new; chapters that are there are never overwritten. A watermark bounds the
-state of the quiet-grace report.
+Each micro-batch of fetched outcomes is one incremental pass that appends what
+is new, as files of its own; chapters that are there are never overwritten, nor
+are their files. A watermark bounds the state of the quiet-grace report.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.maintenance import insert_absent
-from ..sources.library import open_library, save_library
+from ..operators.passes import insert_chapters
+from ..sources.ledger import Pass, run_pass
 from ..sources.schemas import FETCHED
 
 
@@ -19,18 +19,21 @@ def read_outcomes(spark: SparkSession, folder: str, files_per_batch: int = 100)
     return spark.readStream.schema(FETCHED).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def first_copies(batch: DataFrame, sources: DataFrame, now) -> DataFrame:
+    """The chapter of the first source by priority that has it, for each key of a batch of outcomes."""
+    ranked = batch.filter("outcome = 'ok'").join(sources.select(F.col("id").alias("source_id"), "priority"), "source_id")
+    first = ranked.groupBy("novel_id", "number").agg(F.min_by(F.struct("source_id", "title", "paragraphs"), "priority").alias("w"))
+    return first.select("novel_id", "number", F.coalesce("w.title", F.lit("")).alias("title"), F.array_join("w.paragraphs", "\n\n").alias("body"), F.col("w.source_id").alias("source_id"), F.lit(now).cast("timestamp").alias("fetched_at"), F.lit(False).alias("exported"), F.lit(None).cast("timestamp").alias("exported_at"))
+
+
 def poll(outcomes: DataFrame, library_folder: str, checkpoint: str, now):
-    """Starts the stream over what is there now (AvailableNow); each batch ends in a snapshot of the library."""
+    """Starts the stream over what is there now (AvailableNow). A batch that comes again after a crash finds its chapters there and adds none."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        lib = open_library(spark, library_folder)
-        ranked = batch.filter("outcome = 'ok'").join(lib.sources.select(F.col("id").alias("source_id"), "priority"), "source_id")
-        first = ranked.groupBy("novel_id", "number").agg(F.min_by(F.struct("source_id", "title", "paragraphs"), "priority").alias("w"))
-        new = first.select("novel_id", "number", F.coalesce("w.title", F.lit("")).alias("title"), F.array_join("w.paragraphs", "\n\n").alias("body"), F.col("w.source_id").alias("source_id"), F.lit(now).cast("timestamp").alias("fetched_at"), F.lit(False).alias("exported"), F.lit(None).cast("timestamp").alias("exported_at"))
-        merged, added = insert_absent(lib.chapters, new)
-        if not added.isEmpty():
-            save_library(lib.with_(chapters=merged), library_folder)
+        def work(p: Pass) -> int:
+            return insert_chapters(p, first_copies(batch, p.table("sources"), now))
+
+        run_pass(batch.sparkSession, library_folder, work, f"poll {epoch}")
 
     return outcomes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -186,20 +186,6 @@ def test_config_and_profiles(spark, tmp_path):
     assert rows(got, "name", "host", "max_toc_pages") == [("A", "a.org", 500)]
 
 
-def test_a_lost_pointer_is_no_empty_library(spark, tmp_path):
-    import os
-
-    from serialloom.sources.library import Library, LibraryError, open_library, save_library
-
-    folder = str(tmp_path / "lib")
-    save_library(Library.empty(spark), folder)
-    save_library(open_library(spark, folder), folder)
-    assert sorted(x for x in os.listdir(folder) if not x.startswith(("snapshot-", "."))) == ["CURRENT"]
-    os.remove(f"{folder}/CURRENT")
-    with pytest.raises(LibraryError):
-        open_library(spark, folder)
-
-
 def test_books_with_equal_names_stay_apart(spark, tmp_path):
     from serialloom.operators.export import write_books
 
