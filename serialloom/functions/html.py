@@ -1,143 +1,91 @@
-"""HTML to typed columns. One Arrow function reads a page once and returns all that later steps ask for.
+"""HTML to typed columns. One Arrow function reads a page once and returns what later steps ask for.
 
-The parser is the standard library's, with the recovery that pages need: a
-paragraph ends where the next block begins, void tags have no content, script
-and style are raw text and not part of any text.
+Pages are read by the standard library's parser into a tree (see :mod:`.tree`),
+with the recovery that pages need: a paragraph ends where the next block begins,
+void tags have no content, script and style are raw text and not part of any
+text. What is where on a site's pages is data: see :mod:`.extraction`.
 """
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .status import status_hint
 from .text import clean_chapter_title, null_if_empty, trim_all
+from .tree import Tree, compiled
 from .urls import chapter_number, resolve
-from .status import status_hint
 
-# Tags of HTML without content, and those that end an open paragraph.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-PAGE = "struct<title:string,h1:string,meta:map<string,string>,names:map<string,string>,links:array<struct<href:string,text:string,classes:string>>,paragraphs:array<struct<text:string,classes:array<string>>>,inputs:map<string,string>,style:string>"
-
-
-class _Page(HTMLParser):
-    """container: '#id', '.class' or a tag; paragraphs are taken from the first such element, or everywhere."""
-
-    def __init__(self, container: str | None, paragraph: str):
-        super().__init__(convert_charrefs=True)
-        self.container, self.paragraph = container, paragraph
-        self.open: list[str] = []
-        self.depth: int | None = None if container else 0
-        self.found = not container
-        self.title = self.h1 = None
-        self.meta, self.names, self.inputs = {}, {}, {}
-        self.links, self.paragraphs, self.style = [], [], []
-        self.texts: list[tuple[str, int, list[str], object]] = []
-
-    def _is_container(self, tag, attrs):
-        c = self.container
-        if c.startswith("#"):
-            return attrs.get("id") == c[1:]
-        if c.startswith("."):
-            return c[1:] in (attrs.get("class") or "").split()
-        return tag == c
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in reversed(attrs)}
-        if tag in ENDS_P and "p" in self.open:
-            self._close("p")
-        if tag in ("li", "option", "dd", "dt", "tr", "td", "th") and self.open and self.open[-1] == tag:
-            self._close(tag)
-        if tag == "meta":
-            if "property" in a:
-                self.meta.setdefault(a["property"], a.get("content", ""))
-            if "name" in a:
-                self.names.setdefault(a["name"], a.get("content", ""))
-        elif tag == "input":
-            self.inputs.setdefault(a.get("name") or a.get("id") or "", a.get("value", ""))
-        if tag in VOID:
-            return
-        self.open.append(tag)
-        depth = len(self.open)
-        if not self.found and self._is_container(tag, a):
-            self.found, self.depth = True, depth
-        if tag == "title" and self.title is None or tag == "h1" and self.h1 is None:
-            self.texts.append((tag, depth, [], None))
-        elif tag == "a" and "href" in a:
-            self.texts.append((tag, depth, [], (a["href"], a.get("class", ""))))
-        elif tag == self.paragraph and self.depth is not None:
-            self.texts.append(("p", depth, [], a.get("class", "").split()))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        if tag in self.open:
-            self._close(tag)
-
-    def _close(self, tag):
-        at = len(self.open) - 1 - self.open[::-1].index(tag)
-        self._end(at + 1)
-        del self.open[at:]
-        if self.container and self.depth is not None and len(self.open) < self.depth:
-            self.depth = None
-
-    def _end(self, depth):
-        while self.texts and self.texts[-1][1] >= depth:
-            kind, _, parts, more = self.texts.pop()
-            text = "".join(parts)
-            if kind == "title":
-                self.title = text
-            elif kind == "h1":
-                self.h1 = text
-            elif kind == "a":
-                self.links.append((more[0], text, more[1]))
-            else:
-                self.paragraphs.append((text, more))
-
-    def handle_data(self, data):
-        if self.open and self.open[-1] in ("script", "style"):
-            if self.open[-1] == "style":
-                self.style.append(data)
-            return
-        for t in self.texts:
-            t[2].append(data)
-
-    def row(self):
-        self.close()
-        self._end(0)
-        return {
-            "title": self.title, "h1": self.h1, "meta": self.meta, "names": self.names,
-            "links": [{"href": h, "text": t, "classes": c} for h, t, c in self.links],
-            "paragraphs": [{"text": t, "classes": c} for t, c in self.paragraphs],
-            "inputs": self.inputs, "style": "".join(self.style),
-        }
-
-
-def read_page(html: str, container: str | None = None, paragraph: str = "p") -> dict:
-    page = _Page(container, paragraph)
-    page.feed(html)
-    return page.row()
-
-
-def page_reader(container: str | None = None, paragraph: str = "p"):
+#: What a page can be asked for.
+FIELDS = {
+    "title": "string",
+    "h1": "string",
+    "meta": "map<string,string>",
+    "names": "map<string,string>",
+    "links": "array<struct<href:string,text:string,classes:string>>",
+    "paragraphs": "array<struct<text:string,classes:array<string>>>",
+    "inputs": "map<string,string>",
+    "style": "string",
+}
+
+
+def _first_text(tree: Tree, selector: str) -> str | None:
+    return next((tree.text(i) for i in tree.select(selector)), None)
+
+
+def _named(tree: Tree, selector: str, key: str, value: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for i in tree.select(selector):
+        found.setdefault(tree.attrs[i][key], tree.attrs[i].get(value, ""))
+    return found
+
+
+def _paragraphs(tree: Tree, container: str | None, paragraph: str) -> list[dict]:
+    within = None
+    if container:
+        within = next(tree.select(container), None)
+        if within is None:
+            return []
+    return [{"text": tree.text(i), "classes": tree.attrs[i].get("class", "").split()} for i in tree.select(paragraph, within)]
+
+
+def read_page(html: str, container: str | None = None, paragraph: str = "p", fields: Iterable[str] = tuple(FIELDS)) -> dict:
+    """container, paragraph: selectors; paragraphs are those in the first container, or all."""
+    tree = Tree(html)
+    how = {
+        "title": lambda: _first_text(tree, "title"),
+        "h1": lambda: _first_text(tree, "h1"),
+        "meta": lambda: _named(tree, "meta[property]", "property", "content"),
+        "names": lambda: _named(tree, "meta[name]", "name", "content"),
+        "links": lambda: [{"href": tree.attrs[i]["href"], "text": tree.text(i), "classes": tree.attrs[i].get("class", "")} for i in tree.select("a[href]")],
+        "paragraphs": lambda: _paragraphs(tree, container, paragraph),
+        "inputs": lambda: {(a.get("name") or a.get("id") or ""): a.get("value", "") for i in reversed([*tree.select("input")]) for a in [tree.attrs[i]]},
+        "style": lambda: "".join(tree.text(i) for i in tree.select("style")),
+    }
+    return {f: how[f]() for f in fields}
+
+
+def page_reader(container: str | None = None, paragraph: str = "p", fields: Iterable[str] = tuple(FIELDS)):
     """A function for a column of pages. Not deterministic by name, so that a filter on its result does not run it twice."""
+    fields = tuple(fields)
+    for selector in (container, paragraph):  # a bad one is refused here, not on an executor
+        if selector:
+            compiled(selector)
+    none = {f: {} if t.startswith("map") else [] if t.startswith("array") else "" if f == "style" else None for f, t in FIELDS.items()}
 
-    @F.pandas_udf(PAGE)
+    @F.pandas_udf("struct<" + ",".join(f"{f}:{FIELDS[f]}" for f in fields) + ">")
     def read(html: pd.Series) -> pd.DataFrame:
-        none = {"title": None, "h1": None, "meta": {}, "names": {}, "links": [], "paragraphs": [], "inputs": {}, "style": ""}
-        rows = [read_page(x, container, paragraph) if x is not None else none for x in html]
-        return pd.DataFrame({k: pd.Series([r[k] for r in rows], dtype=object) for k in none})
+        rows = [none if x is None else read_page(x, container, paragraph, fields) for x in html]
+        return pd.DataFrame({f: pd.Series([r[f] for r in rows], dtype=object) for f in fields})
 
     return read.asNondeterministic()
 
 
-def with_page(pages: DataFrame, container: str | None = None, paragraph: str = "p") -> DataFrame:
-    return pages.withColumn("page", page_reader(container, paragraph)("html")).drop("html")
+def with_page(pages: DataFrame, container: str | None = None, paragraph: str = "p", fields: Iterable[str] = tuple(FIELDS)) -> DataFrame:
+    return pages.withColumn("page", page_reader(container, paragraph, fields)("html")).drop("html")
 
 
 def text_or_null(s: Column) -> Column:
@@ -172,10 +120,11 @@ def paragraphs(page: Column) -> Column:
 
 
 def hidden_classes(style: Column) -> Column:
-    """Class names whose rule mentions both display and none."""
-    rules = F.regexp_extract_all(style, F.lit(r"(\.[A-Za-z0-9_-]+\s*\{[^}]*\})"), F.lit(1))
-    hiding = F.filter(rules, lambda r: F.contains(r, F.lit("display")) & F.contains(r, F.lit("none")))
-    return F.transform(hiding, lambda r: F.regexp_extract(r, r"^\.([A-Za-z0-9_-]+)", 1))
+    """Classes in the selector of any rule that mentions both display and none, one of several or nested ones too."""
+    hiding = F.filter(F.split(style, "\\}"), lambda r: F.contains(r, F.lit("display")) & F.contains(r, F.lit("none")))
+    # what stands before the last {, as a rule may stand in another
+    tokens = F.flatten(F.transform(hiding, lambda r: F.split(F.coalesce(F.get(F.reverse(F.split(r, "\\{")), F.lit(1)), F.lit("")), r"[,\s]+")))
+    return F.transform(F.filter(tokens, lambda t: F.startswith(t, F.lit(".")) & (F.length(t) > 1)), lambda t: F.substring(t, 2, 1 << 30))
 
 
 def visible_paragraphs(page: Column) -> Column:
@@ -195,5 +144,8 @@ def links_of_class(page: Column, name: str) -> Column:
 
 
 def embedded_json(html: Column, variable: str = "window.chapters") -> Column:
-    """The first JSON array that is assigned to a variable in a script."""
-    return F.regexp_extract(html, r"(?s)" + re.escape(variable) + r"\s*=\s*(\[.*?\])\s*;", 1)
+    """A page from the first [ behind a variable's name on; null without. A JSON reader takes the array and leaves what follows it."""
+    at = F.instr(html, variable)
+    behind = F.substring(html, at, F.lit(1 << 30))
+    start = F.instr(behind, "[")
+    return F.when((at > 0) & (start > 0), F.substring(behind, start, F.lit(1 << 30)))

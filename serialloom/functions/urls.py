@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_lower, null_if_empty, sanitize_filename, trim_all
+from .text import null_if_empty, sanitize_filename, trim_all
 
 UNKNOWN_AUTHOR = "Unknown Author"
 MAX_NUMBER = 4294967295
@@ -84,11 +84,3 @@ def book_path(author: Column, title: Column, volume: Column | None = None) -> Co
     if volume is not None:
         suffix = F.when(volume.isNull(), F.lit("")).otherwise(F.format_string(" - Vol %02d", volume))
     return F.concat_ws("/", author_part(author), name, F.concat(name, suffix, F.lit(".epub")))
-
-
-def adapter_of(url: Column, hosts: dict[str, str], fallback: Column | None = None) -> Column:
-    """The adapter that serves a URL's host, case and one www. aside."""
-    found = F.lit(None).cast("string") if fallback is None else fallback
-    for name, adapter in hosts.items():
-        found = F.when(ascii_lower(bare_host(url)) == name.lower(), F.lit(adapter)).otherwise(found)
-    return found

@@ -242,11 +242,11 @@ def normalized_titles(spark, d):
 
 
 @query(
-    r"""WITH t AS (SELECT page_id, lower(regexp_replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&'), '[^\p{L}\p{N}]', '', 'g')) AS key FROM pages)
+    r"""WITH t AS (SELECT page_id, lower(regexp_replace(regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;?', '&', 'g'), '[^\p{L}\p{N}]', '', 'g')) AS key FROM pages)
 SELECT key, count(*) AS n, min(page_id) AS first_page FROM t GROUP BY key HAVING count(*) > 1"""
 )
 def duplicate_titles(spark, d):
-    t = html.with_page(a.table(spark, d, "pages").select("page_id", "html")).select("page_id", text.normalize_title(F.col("page.title")).alias("key"))
+    t = html.with_page(a.table(spark, d, "pages").select("page_id", "html"), fields=("title",)).select("page_id", text.normalize_title(F.col("page.title")).alias("key"))
     return t.groupBy("key").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).filter("n > 1")
 
 
@@ -302,22 +302,9 @@ def status_counts(spark, d):
     return a.table(spark, d, "orders").groupBy(status_hint(label).alias("hint")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title FROM pages")
+@query("SELECT page_id, regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;?', '&', 'g') AS title FROM pages")
 def page_titles(spark, d):
-    return html.with_page(a.table(spark, d, "pages").select("page_id", "html")).select("page_id", text.trim_all(F.col("page.title")).alias("title"))
-
-
-@query()
-def page_paragraphs(spark, d):
-    p = html.with_page(a.table(spark, d, "pages").select("page_id", "html"))
-    return p.select("page_id", F.posexplode(html.paragraphs(F.col("page"))).alias("pos", "paragraph"))
-
-
-@query()
-def page_links(spark, d):
-    p = html.with_page(a.table(spark, d, "pages").select("page_id", "url", "html"))
-    links = p.select("page_id", "url", F.posexplode("page.links").alias("pos", "link"))
-    return links.select("page_id", "pos", urls.resolve(F.col("url"), F.col("link.href")).alias("link_url"), text.trim_all(F.col("link.text")).alias("title"))
+    return html.with_page(a.table(spark, d, "pages").select("page_id", "html"), fields=("title",)).select("page_id", text.trim_all(F.col("page.title")).alias("title"))
 
 
 @query("SELECT doc_id, length(text) AS n_chars FROM documents WHERE length(text) <= 2000 AND (contains(lower(text), 'and the') OR contains(lower(text), 'de la'))")

@@ -71,7 +71,6 @@ def test_urls(col):
     assert col(urls.base_url, ["https://x.org/a/?q=1#z", "https://x.org/a//"]) == ["https://x.org/a", "https://x.org/a"]
     assert col(lambda c: urls.on_host(c, "x.org"), ["https://www.X.org/a", "https://x.org", "https://x.org.evil", "not a url"]) == [True, True, False, False]
     assert col(lambda c: urls.resolve(F.lit("https://x.org/a/b"), c), ["../c", "https://y.org/", None]) == ["https://x.org/c", "https://y.org/", None]
-    assert col(lambda c: urls.adapter_of(c, {"x.org": "x"}, F.lit("profile")), ["https://www.x.org/", "https://z.org/"]) == ["x", "profile"]
 
 
 def test_paths(col):
