@@ -242,7 +242,7 @@ def normalized_titles(spark, d):
 
 
 @query(
-    r"""WITH t AS (SELECT page_id, lower(regexp_replace(regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;?', '&', 'g'), '[^\p{L}\p{N}]', '', 'g')) AS key FROM pages)
+    r"""WITH t AS (SELECT page_id, lower(regexp_replace(regexp_replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&quot;', '"'), '&amp;?', '&', 'g'), '[^\p{L}\p{N}]', '', 'g')) AS key FROM pages)
 SELECT key, count(*) AS n, min(page_id) AS first_page FROM t GROUP BY key HAVING count(*) > 1"""
 )
 def duplicate_titles(spark, d):
@@ -302,7 +302,7 @@ def status_counts(spark, d):
     return a.table(spark, d, "orders").groupBy(status_hint(label).alias("hint")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;?', '&', 'g') AS title FROM pages")
+@query("SELECT page_id, regexp_replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&quot;', chr(34)), '&amp;?', '&', 'g') AS title FROM pages")
 def page_titles(spark, d):
     return html.with_page(a.table(spark, d, "pages").select("page_id", "html"), fields=("title",)).select("page_id", text.trim_all(F.col("page.title")).alias("title"))
 

@@ -65,3 +65,78 @@ def page_links(spark, d):
     p = html.with_page(a.table(spark, d, "pages").select("page_id", "url", "html"), fields=("links",))
     links = p.select("page_id", "url", F.posexplode("page.links").alias("pos", "link"))
     return links.select("page_id", "pos", urls.resolve(F.col("url"), F.col("link.href")).alias("link_url"), text.trim_all(F.col("link.text")).alias("title"))
+
+
+_TOC = "SELECT l_suppkey AS novel_id, CAST(l_orderkey % 40 + 1 AS BIGINT) AS page, l_orderkey * 10 + l_linenumber AS pos, CAST(l_partkey % 60 + 1 AS BIGINT) AS number, l_partkey AS title FROM lineitem WHERE l_orderkey % 40 + 1 <> l_suppkey % 13 + 8"
+NEEDED, MOST_PAGES = 57, 9
+
+
+def _toc(spark, d):
+    """Line items as links of paged lists: 40 pages a supplier, one of them missing."""
+    line = a.table(spark, d, "lineitem")
+    page = (F.col("l_orderkey") % 40 + 1).cast("bigint")
+    links = line.select(F.col("l_suppkey").alias("novel_id"), page.alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), (F.col("l_partkey") % 60 + 1).cast("bigint").alias("number"), F.col("l_partkey").alias("title"), F.lit("u").alias("url"))
+    return links.filter(F.col("page") != F.col("novel_id") % 13 + 8)
+
+
+@query(
+    f"""WITH RECURSIVE toc AS ({_TOC}), by_page AS (SELECT novel_id, page, list(DISTINCT number) AS numbers FROM toc GROUP BY ALL),
+walk AS (
+    SELECT novel_id, page, numbers AS found, len(numbers) >= {NEEDED} AS over FROM by_page WHERE page = 1
+    UNION ALL
+    SELECT w.novel_id, b.page, list_distinct(list_concat(w.found, b.numbers)), len(list_distinct(list_concat(w.found, b.numbers))) >= {NEEDED} OR len(list_distinct(list_concat(w.found, b.numbers))) = len(w.found) OR b.page >= {MOST_PAGES}
+    FROM walk w JOIN by_page b ON b.novel_id = w.novel_id AND b.page = w.page + 1 WHERE NOT w.over
+), ends AS (SELECT novel_id, max(page) AS last FROM walk GROUP BY novel_id)
+SELECT novel_id, number, page, pos, title FROM toc JOIN ends USING (novel_id) WHERE page <= last QUALIFY row_number() OVER (PARTITION BY novel_id, number ORDER BY page, pos, title) = 1"""
+)
+def paged_contents(spark, d):
+    """A walk over paged lists with all its stop rules; the SQL takes it step by step."""
+    from ..operators.paging import paged_scan
+
+    return paged_scan(_toc(spark, d), MOST_PAGES, NEEDED).drop("url")
+
+
+_NEWEST = """links AS (
+    SELECT l_suppkey AS novel_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS rn, l_orderkey, l_linenumber FROM lineitem
+), paged AS (SELECT *, CAST((rn - 1) // 15 + 1 AS BIGINT) AS page FROM links), kept AS (
+    SELECT * FROM paged WHERE NOT (page = 4 AND novel_id % 3 = 0) AND NOT (page = 6 AND rn % 15 > 9 AND novel_id % 5 = 1)
+), totals AS (SELECT l_suppkey AS novel_id, CASE WHEN l_suppkey % 4 = 0 THEN NULL WHEN l_suppkey % 7 = 0 THEN 40 ELSE count(*) END AS total FROM lineitem GROUP BY l_suppkey)"""
+
+
+def _newest(spark, d):
+    """Line items as lists that begin with the newest, 15 a page, some with an empty or a short page; totals that are right, too low or not known."""
+    from pyspark.sql import Window
+
+    line = a.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("novel_id"), "l_orderkey", "l_linenumber")
+    rn = F.row_number().over(Window.partitionBy("novel_id").orderBy(F.desc("l_orderkey"), F.desc("l_linenumber")))
+    links = line.withColumn("pos", rn).withColumn("page", (F.floor((F.col("pos") - 1) / 15) + 1).cast("bigint"))
+    links = links.filter("NOT (page = 4 AND novel_id % 3 = 0) AND NOT (page = 6 AND pos % 15 > 9 AND novel_id % 5 = 1)")
+    n = F.col("novel_id")
+    totals = line.groupBy("novel_id").agg(F.count("*").alias("n")).select("novel_id", F.when(n % 4 == 0, F.lit(None)).when(n % 7 == 0, 40).otherwise(F.col("n")).alias("total"))
+    return links, totals
+
+
+@query(
+    f"""WITH RECURSIVE {_NEWEST}, sizes AS (SELECT novel_id, page, count(*) AS size FROM kept GROUP BY ALL), walk AS (
+    SELECT novel_id, page, size AS page_size, size AS through, coalesce(total, 0) > 0 AND size >= total AS over FROM sizes JOIN totals USING (novel_id) WHERE page = 1
+    UNION ALL
+    SELECT w.novel_id, s.page, w.page_size, w.through + s.size, (coalesce(total, 0) > 0 AND w.through + s.size >= total) OR s.size < w.page_size FROM walk w JOIN sizes s ON s.novel_id = w.novel_id AND s.page = w.page + 1 JOIN totals t ON t.novel_id = w.novel_id WHERE NOT w.over
+)
+SELECT novel_id, page, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY novel_id ORDER BY rn DESC) AS number FROM kept SEMI JOIN walk USING (novel_id, page)"""
+)
+def newest_first_contents(spark, d):
+    from ..operators.paging import newest_first
+
+    links, totals = _newest(spark, d)
+    return newest_first(links, totals).select("novel_id", "page", "l_orderkey", "l_linenumber", "number")
+
+
+@query(
+    f"""WITH {_NEWEST}, w AS (SELECT *, count(*) OVER (PARTITION BY novel_id) AS size FROM kept WHERE page = 1)
+SELECT novel_id, l_orderkey, l_linenumber, CAST(greatest(coalesce(total, 0) - size + 1, 1) + size - row_number() OVER (PARTITION BY novel_id ORDER BY rn) AS BIGINT) AS number FROM w JOIN totals USING (novel_id)"""
+)
+def newest_window_contents(spark, d):
+    from ..operators.paging import newest_window
+
+    links, totals = _newest(spark, d)
+    return newest_window(links, totals).select("novel_id", "l_orderkey", "l_linenumber", "number")
