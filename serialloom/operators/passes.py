@@ -52,6 +52,12 @@ def mark_exported(p: Pass, novels: DataFrame, now) -> int:
     return p.update("chapters", which, ["novel_id"], {"exported": F.lit(True), "exported_at": F.lit(now).cast("timestamp")})
 
 
+def mark_chapters_exported(p: Pass, chapters: DataFrame, now) -> int:
+    """These chapters (by key), and their novels are pending no more."""
+    p.update("novels", chapters.select(F.col("novel_id").alias("id")).distinct(), ["id"], {"export_pending": F.lit(False)}, F.col("export_pending"))
+    return p.update("chapters", chapters.select(*KEY), KEY, {"exported": F.lit(True), "exported_at": F.lit(now).cast("timestamp")})
+
+
 def set_pending(p: Pass, novels: DataFrame, pending: bool = True) -> int:
     return p.update("novels", novels.select(F.col("novel_id").alias("id")).distinct(), ["id"], {"export_pending": F.lit(pending)}, F.col("export_pending") != pending)
 
