@@ -56,6 +56,11 @@ def read_url(root: str, slug_col: Column, number: Column) -> Column:
     return F.concat(canonical_url(root, slug_col), F.lit("/chapter-"), number.cast("string"))
 
 
+def list_request(url: Column, page: Column, post_id: Column) -> Column:
+    """struct<url, body>: the form that asks a series' site for a page of its list; null for what is no URL."""
+    return F.when(host(url).isNotNull(), F.struct(F.concat(F.lit("https://"), host(url), F.lit("/wp-admin/admin-ajax.php")).alias("url"), F.concat(F.lit("action=wi_getreleases_pagination&pagenum="), page.cast("string"), F.lit("&mypostid="), post_id).alias("body")))
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Relative to absolute; null where that fails. Spark has no such function, so it is an Arrow one."""
     from urllib.parse import urljoin

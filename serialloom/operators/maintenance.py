@@ -116,6 +116,18 @@ def retitle(chapters: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFram
     return met.select(*[new.get(c, F.col(c)).alias(c) for c in chapters.columns]), met.filter("hit").select(*KEY, "n_title")
 
 
+def primary_titles(chapters: DataFrame, sources: DataFrame, fetched: DataFrame) -> DataFrame:
+    """novel_id, number and n_title of stored chapters whose primary source could be read again; others keep their titles."""
+    primary = sources.groupBy("novel_id").agg(F.min_by("id", "priority").alias("source_id"))
+    read = fetched.filter("outcome = 'ok' AND title IS NOT NULL").join(primary, ["novel_id", "source_id"], "left_semi")
+    return read.select(*KEY, F.col("title").alias("n_title")).join(chapters.select(*KEY), KEY, "left_semi")
+
+
+def retitle_pass(chapters: DataFrame, sources: DataFrame, fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chapters with the titles that their primary sources have now, and which of them changed."""
+    return retitle(chapters, primary_titles(chapters, sources, fetched))
+
+
 def record_gaps(gaps: DataFrame, new: DataFrame, now) -> DataFrame:
     return gaps.unionByName(new.select(*KEY).distinct().join(gaps.select(*KEY), KEY, "left_anti").withColumn("detected_at", F.lit(now).cast("timestamp")))
 

@@ -97,6 +97,17 @@ def sources_with_titles(sources: DataFrame, novels: DataFrame) -> DataFrame:
     return sources.join(novels.select(F.col("id").alias("novel_id"), F.col("title").alias("novel_title")), "novel_id")
 
 
+def source_ids(sources: DataFrame, urls: DataFrame) -> DataFrame:
+    """url and source_id (null for one that no source has) of each of some URLs."""
+    return urls.select("url").join(sources.select("url", F.col("id").alias("source_id")), "url", "left")
+
+
+def novel_meta(novels: DataFrame, sources: DataFrame) -> DataFrame:
+    """What a site says of a novel, as it is held: title, author, cover_url, genre, status_hint and source_url, the primary's."""
+    first = sources.groupBy("novel_id").agg(F.min_by("url", "priority").alias("source_url"))
+    return novels.join(first, novels["id"] == F.col("novel_id"), "left").select("id", "title", "author", "cover_url", "genre", "status_hint", F.coalesce("source_url", F.lit("")).alias("source_url"))
+
+
 def chapters_of(lib: Library, novel_id: int, number: int | None = None) -> DataFrame:
     rows = lib.chapters.filter(F.col("novel_id") == novel_id)
     rows = rows if number is None else rows.filter(F.col("number") == number)
