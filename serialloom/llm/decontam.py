@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..session import keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Marks that the documents' own rows are dealt by.
+_MARKS = 1 << 14
 #: What words do not hold: ASCII but for digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,12 +58,13 @@ def item_grams(benchmark: DataFrame, n: int) -> DataFrame:
 
 def probed(docs: DataFrame, known: DataFrame, sizes: list[int], broadcast: bool) -> DataFrame:
     """doc_id, th, n_words, at, size, hash: a row with size 0 for each document, and one for each window whose hash and size are in ``known``."""
-    mark = docs.sparkSession.createDataFrame([(0, 0)], "hash bigint, size int")
+    mark = docs.sparkSession.range(_MARKS).select(F.col("id").alias("hash"), F.lit(0).alias("size"))
     probe = mark.unionByName(known).withColumnsRenamed({"hash": "g_hash", "size": "g_size"})
     at = lambda h, k: F.transform(F.sequence(F.lit(1), F.size(h) - (k - 1)), lambda i: F.struct(i.alias("at"), F.lit(k).alias("size"), _window_hash(h, i, k).alias("hash")))
     none = F.array().cast("array<struct<at:int,size:int,hash:bigint>>")
-    # 0 marks the row that each document sends for itself, whose place is its word count
-    own = lambda h: F.array(F.struct(F.size(h).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash")))
+    # size 0 marks the row that each document sends for itself, whose place is its word count; where windows are shuffled by
+    # hash, these rows go by one of many, so that documents do not meet in one task
+    own = lambda h: F.array(F.struct(F.size(h).alias("at"), F.lit(0).alias("size"), F.pmod(F.xxhash64("doc_id", "th"), F.lit(_MARKS)).alias("hash")))
     hashes = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))
     each = _let(hashes, lambda h: F.concat(own(h), *[F.when(F.size(h) >= k, at(h, k)).otherwise(none) for k in sizes]))
     # named before the windows are made, or each of them would carry its text

@@ -205,16 +205,28 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+#: A document of more than this part of ``sample_bytes`` is not learned from.
+_SHARE = 16
+
+
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, params: CnnParams | None = None) -> Cnn:
-    """Trains on labelled rows of ``docs`` whose crc32(doc_id as text) modulo ``modulus`` is not ``remainder``."""
+    """Trains on labelled rows of ``docs`` whose crc32(doc_id as text) modulo ``modulus`` is not ``remainder``.
+
+    The sample is bounded by rows and by bytes; documents that are a large part of the bytes alone are left out of it.
+    Without labels the model knows nothing; with labels of which none could be taken, that is an error.
+    """
     p = params or CnnParams()
     known = labels.select("doc_id", F.col("toxic").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id").limit(p.sample)
     texts = docs.select("doc_id", F.col("text").alias("text"), F.col("lang").alias("lang"))
     # no more than ``sample`` rows of two or three numbers
     sized = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))
+    # a document that is a large part of the bound by itself is left out, so that it does not displace the others
+    fits = sized.filter(F.col("n") <= p.sample_bytes // _SHARE)
     before = F.sum("n").over(Window.orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id"))
-    known = sized.withColumn("bytes", before).filter(F.col("bytes") <= p.sample_bytes).select("doc_id", "toxic")
+    known = fits.withColumn("bytes", before).filter(F.col("bytes") <= p.sample_bytes).select("doc_id", "toxic")
+    if known.isEmpty() and not sized.isEmpty():
+        raise ValueError(f"no labelled document is short enough to learn from: sample_bytes is {p.sample_bytes}, and one of over a {_SHARE}th of that is left out")
     rows = texts.join(F.broadcast(known), "doc_id")
 
     def run(batches):

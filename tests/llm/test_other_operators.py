@@ -159,6 +159,17 @@ def test_toxicity_without_labels(labelled):
     assert toxicity.score_texts(docs.limit(0), model).count() == 0
 
 
+def test_a_very_long_text_does_not_switch_learning_off(spark, labelled):
+    docs, labels = labelled
+    more = docs.unionByName(spark.createDataFrame([(i, f"only{i} " * 40_000, "en") for i in range(900, 930)], docs.schema))
+    said = labels.unionByName(spark.createDataFrame([(i, 0) for i in range(900, 930)], labels.schema))
+    model = toxicity.learn(more, said, params=toxicity.CnnParams(buckets=4096, epochs=12, sample_bytes=150_000))
+    got = toxicity.score_texts(docs, model).join(labels.filter("doc_id < 600 AND toxic IS NOT NULL"), "doc_id").filter("held_out").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.9
+    with pytest.raises(ValueError, match="short enough"):
+        toxicity.learn(docs, labels, params=toxicity.CnnParams(sample_bytes=16))
+
+
 def test_pooling_is_a_plain_convolution():
     p = toxicity.CnnParams(buckets=64, dim=4, filters=3)
     m, rng = toxicity.Cnn(p), np.random.default_rng(0)

@@ -195,6 +195,21 @@ def test_decontamination_of_very_long_texts(spark):
         assert got == {i: (200_000, 12 * (i == 2), [(150_001, 150_012)] * (i == 2), ["1"] * (i == 2)) for i in range(4)}
 
 
+def test_documents_do_not_meet_in_one_task_where_windows_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"w{i} x y z") for i in range(4000)], "doc_id bigint, text string")
+    known = spark.createDataFrame([(1, 3)], "hash bigint, size int")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        met = [r["count"] for r in decontam.probed(docs, known, [3], False).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(met) == 4000 and len(met) == 8 and max(met) < 2 * 4000 / 8
+
+
 def test_decontamination_tells_repeated_ids_apart(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "x y z"), (7, "a b c"), (7, "q"), (7, "q")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
