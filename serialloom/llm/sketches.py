@@ -183,7 +183,7 @@ def _columns(b: pa.RecordBatch):
 
 
 def _deal(docs: DataFrame) -> tuple[DataFrame, int]:
-    """bucket, border, doc_id, th, text and copies, and how many partitions they are for. The border row of a bucket is the one that follows its last."""
+    """place, bucket, border, doc_id, th, text and copies, and how many places there are. The border row of a bucket is the one that follows its last."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("doc_id", "text").rdd.getNumPartitions())  # with the input
@@ -202,6 +202,8 @@ def _deal(docs: DataFrame) -> tuple[DataFrame, int]:
     heads = numbered.groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "th")).alias("h")).orderBy("bucket").collect()  # a row for each bucket
     # the first document of a bucket also goes to the bucket before it, that of the first one to the last
     to = {(None if r["h"]["down"] is None else ~r["h"]["down"], r["h"]["th"]): heads[i - 1]["bucket"] for i, r in enumerate(heads)}
+    # neighbouring buckets share a place, each place has as many
+    held = np.array([r["bucket"] for r in heads], np.int64)
     first_hashes = np.array([k[1] for k in to], np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]):
@@ -220,12 +222,13 @@ def _deal(docs: DataFrame) -> tuple[DataFrame, int]:
                     stay[i] = False
             hit = [(i, to[key]) for i in np.flatnonzero(np.isin(th, first_hashes) & stay).tolist() if (key := (None if none[i] else int(ids[i]), int(th[i]))) in to]
             rows = np.concatenate([np.flatnonzero(stay), np.array([i for i, _ in hit], np.int64)])
-            places = np.concatenate([bucket[stay], np.array([p for _, p in hit], np.int64)])
+            buckets = np.concatenate([bucket[stay], np.array([p for _, p in hit], np.int64)])
             border = np.concatenate([np.zeros(stay.sum(), bool), np.ones(len(hit), bool)])
             pick = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(border), b.column("doc_id").take(pick), b.column("th").take(pick), b.column("text").take(pick), pa.array(copies[rows])], ["bucket", "border", "doc_id", "th", "text", "copies"])
+            at = (np.searchsorted(held, buckets) * n // max(1, len(held))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(buckets), pa.array(border), b.column("doc_id").take(pick), b.column("th").take(pick), b.column("text").take(pick), pa.array(copies[rows])], ["place", "bucket", "border", "doc_id", "th", "text", "copies"])
 
-    dealt = own.select("doc_id", "th", "text").mapInArrow(deal, "bucket bigint, border boolean, doc_id bigint, th bigint, text string, copies bigint")
+    dealt = own.select("doc_id", "th", "text").mapInArrow(deal, "place int, bucket bigint, border boolean, doc_id bigint, th bigint, text string, copies bigint")
     return dealt, n
 
 
@@ -235,7 +238,7 @@ RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 def edited_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and held_by_edited of each row."""
     dealt, n = _deal(docs)
-    ordered = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "border", F.desc_nulls_last("doc_id"), "th", "text")
+    ordered = dealt.repartitionById(n, F.col("place")).sortWithinPartitions("bucket", "border", F.desc_nulls_last("doc_id"), "th", "text")
     lacking = "bucket {} lacks the row that follows it; the input has changed meanwhile"
     kind = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("held_by_edited", pa.float64())])
 
