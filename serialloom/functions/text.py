@@ -18,6 +18,7 @@ GATE_PHRASES = (
     "create a free account",
     "subscribe to continue reading",
 )
+# Fixed value: a text of more characters is no gate.
 STUB_MAX_CHARS = 2000
 # Inline tags that are dropped from plain text.
 INLINE_TAGS = ("em", "strong", "i", "b", "u", "s", "sup", "sub", "br")

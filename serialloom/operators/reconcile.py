@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_gate_stub
@@ -103,19 +103,24 @@ def sync_pass(novels: DataFrame, sources: DataFrame, chapters: DataFrame, gaps:
     gaps2 = gaps1.unionByName(up.filter("what = 'gap'").select(*KEY).withColumn("detected_at", when))
     fresh = up.filter("what = 'upgraded'").select(*KEY, F.col("primary_id").alias("n_source"), F.col("u_title").alias("n_title"), F.array_join("u_paragraphs", "\n\n").alias("n_body"))
     held2 = replace_content(held, fresh)
-    open_numbers = missing(missing(target, held2), gaps2).groupBy("novel_id").agg(F.count("*").alias("open"))
-    counts = new.groupBy("novel_id").agg(F.count("*").alias("newly_fetched"), F.count_if(F.col("priority") != 1).alias("from_fallback"))
-    state = (
-        novels.select(F.col("id").alias("novel_id"), F.col("derived_state").alias("was"))
-        .join(target.groupBy("novel_id").agg(F.count("*").alias("target")), "novel_id", "left")
-        .join(open_numbers, "novel_id", "left")
-        .join(counts, "novel_id", "left")
-        .join(up.filter("what = 'upgraded'").groupBy("novel_id").agg(F.count("*").alias("upgraded")), "novel_id", "left")
-        .join(failures.groupBy("novel_id").agg(F.count("*").alias("failed")), "novel_id", "left")
-        .join(missing(gaps2, held2).groupBy("novel_id").agg(F.array_sort(F.collect_set("number")).alias("gaps")), "novel_id", "left")
-        .join(mode, "novel_id")
-        .na.fill(0, ["target", "open", "newly_fetched", "from_fallback", "upgraded", "failed"])
+    # what is true of each number, put together by one grouping; a copy that was replaced has the key that it had
+    flags = {"t": target, "h": chapters.select(*KEY).unionByName(new.select(*KEY)), "g": gaps2, "n": new, "f": new.filter("priority <> 1"), "u": up.filter("what = 'upgraded'"), "x": failures}
+    marked = None
+    for name, rows in flags.items():
+        one = rows.select(*KEY, F.lit(1).alias(name))
+        marked = one if marked is None else marked.unionByName(one, allowMissingColumns=True)
+    each = marked.groupBy(*KEY).agg(*[F.coalesce(F.max(name), F.lit(0)).alias(name) for name in flags])
+    counts = each.groupBy("novel_id").agg(
+        F.sum("t").alias("target"),
+        F.count_if(F.expr("t = 1 AND h = 0 AND g = 0")).alias("open"),
+        F.sum("n").alias("newly_fetched"),
+        F.sum("f").alias("from_fallback"),
+        F.sum("u").alias("upgraded"),
+        F.sum("x").alias("failed"),
+        F.array_sort(F.collect_list(F.when(F.expr("g = 1 AND h = 0"), F.col("number")))).alias("gaps"),
     )
+    state = novels.select(F.col("id").alias("novel_id"), F.col("derived_state").alias("was")).join(counts, "novel_id", "left").join(mode, "novel_id")
+    state = state.na.fill(0, ["target", "open", "newly_fetched", "from_fallback", "upgraded", "failed"])
     done = (F.col("target") > 0) & (F.col("open") == 0)
     to = F.when(F.col("was") == "backfilling", F.when(done, "live").otherwise("backfilling")).when(F.col("newly_fetched") > 0, "live").otherwise(F.col("was"))
     report = state.select("novel_id", F.col("was").alias("prev_state"), to.alias("new_state"), "mode", "target", "newly_fetched", "from_fallback", "upgraded", "failed", F.coalesce("gaps", F.array().cast("array<bigint>")).alias("gaps"))
@@ -125,9 +130,10 @@ def sync_pass(novels: DataFrame, sources: DataFrame, chapters: DataFrame, gaps:
 
 
 def _dedupe_modes(discovered: DataFrame) -> DataFrame:
-    """Later rows win, within each mode."""
-    w = Window.partitionBy("novel_id", "source_id", "mode", "number").orderBy(F.desc("pos"))
-    return discovered.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    """Later rows win, within each mode: an aggregate, which is summed before it is shuffled."""
+    key = ["novel_id", "source_id", "mode", "number"]
+    others = [c for c in discovered.columns if c not in key]
+    return discovered.groupBy(*key).agg(F.max_by(F.struct(*others), "pos").alias("last")).select(*key, "last.*")
 
 
 def replace_content(chapters: DataFrame, fresh: DataFrame) -> DataFrame:

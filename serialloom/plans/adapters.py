@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """novel_id, number, source_id, outcome, fetched_at, exported: one row per (novel, source, number)."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    w = Window.partitionBy("l_orderkey", "l_suppkey", "l_linenumber").orderBy(F.desc("l_partkey"), F.desc("l_quantity"), F.desc("l_extendedprice"), F.desc("l_shipdate"))
-    one = l.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+    last = F.max_by(F.struct("l_returnflag", "l_linestatus", "l_shipdate"), F.struct("l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"))
+    one = l.groupBy("l_orderkey", "l_suppkey", "l_linenumber").agg(last.alias("o")).select("l_orderkey", "l_suppkey", "l_linenumber", "o.*")
     return one.select(
         F.col("l_orderkey").alias("novel_id"),
         F.col("l_linenumber").cast("bigint").alias("number"),
