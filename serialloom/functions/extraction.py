@@ -14,6 +14,7 @@ pages are read by, the first by rank for a host.
 from __future__ import annotations
 
 import json
+import warnings
 from functools import lru_cache
 
 import pandas as pd
@@ -117,6 +118,23 @@ def site_profiles(spark: SparkSession, more: DataFrame | None = None) -> DataFra
     return own if more is None else own.unionByName(more.withColumn("rank", F.col("rank") + len(SITES) + 1))
 
 
+def from_files(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles and rules of sites that files describe (see :func:`serialloom.sources.config.profiles`).
+
+    Such a site describes itself in general tags. A file whose selectors are not understood is left out with a warning.
+    """
+    profiles, rules = [], []
+    for r in found.orderBy("rank").collect():  # a row for each file
+        try:
+            rules += general_rules(r["name"], r["content_selector"], r["paragraph_selector"])
+        except ValueError as e:
+            warnings.warn(f"profile {r['name']}: {e}", stacklevel=2)
+            continue
+        profiles.append((r["rank"], r["name"], r["host"], False, r["chapter_marker"], r["toc_page_param"], r["max_toc_pages"]))
+    spark = found.sparkSession
+    return spark.createDataFrame(profiles, PROFILES), spark.createDataFrame(rules, RULES)
+
+
 def by_host(profiles: DataFrame) -> DataFrame:
     """One row for each host that is served, its www. form apart."""
     named = profiles.withColumn("host", F.lower("host"))

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = 1 << 40
+from ..functions.html import with_page
+from ..functions.text import clean_chapter_title
+from ..functions.urls import chapter_number, resolve
 
 
 def _in_a_row(pages: DataFrame) -> DataFrame:
@@ -84,3 +86,17 @@ def arrived(entries: DataFrame) -> DataFrame:
     """One row for each novel and number of an API's list: the one that arrived first (offset, pos)."""
     others = [c for c in entries.columns if c not in ("novel_id", "number")]
     return entries.groupBy("novel_id", "number").agg(F.min_by(F.struct(*others), F.struct("offset", "pos")).alias("f")).select("novel_id", "number", "f.*")
+
+
+def listed_chapters(pages: DataFrame, needed: int | None = None) -> DataFrame:
+    """novel_id, number, title and url of the chapters that a walk over a site's pages of contents finds.
+
+    pages: novel_id, page (from 1), url (the novel's), html, and from its profile chapter_marker and max_pages.
+    """
+    read = with_page(pages.filter("chapter_marker IS NOT NULL").withColumnRenamed("page", "at"), fields=("links",))
+    links = read.select("novel_id", F.col("at").alias("page"), "url", "chapter_marker", "max_pages", F.posexplode("page.links").alias("pos", "link")).filter(F.contains("link.href", F.col("chapter_marker")))
+    links = links.withColumn("link_url", resolve(F.col("url"), F.col("link.href")))
+    links = links.select("novel_id", "page", "pos", "max_pages", chapter_number(F.col("link_url")).alias("number"), clean_chapter_title(F.col("link.text")).alias("title"), F.col("link_url").alias("url")).filter("number IS NOT NULL")
+    # a page beyond the profile's last is one that is not there
+    near = links.filter(F.col("page") <= F.coalesce("max_pages", F.lit(500)))
+    return paged_scan(near, needed=needed, max_pages=1 << 31).select("novel_id", "number", "title", "url")

@@ -147,3 +147,21 @@ def test_many_hosts_are_not_broadcast(spark):
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and out.first().profile == "novgo"
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sites_from_files_and_their_contents(spark, tmp_path):
+    from serialloom.operators.paging import listed_chapters
+    from serialloom.sources import config
+
+    (tmp_path / "a.ini").write_text("[site]\nname = mine\nhost = My.site\nchapter_marker = /c/chapter-\ncontent_selector = main .prose\nmax_toc_pages = 2\n")
+    (tmp_path / "b.ini").write_text("[site]\nname = bad\nhost = bad.site\nchapter_marker = x\ncontent_selector = p:hover\n")
+    with pytest.warns(UserWarning, match="bad"):
+        profiles, rules = extraction.from_files(config.profiles(spark, str(tmp_path)))
+    toc = lambda *numbers: "".join(f'<a href="/c/chapter-{n}">Chapter {n}: T{n}</a>' for n in numbers) + '<a href="/about">x</a><a href="/c/chapter-x">y</a>'
+    pages = [(1, 1, "https://my.site/b", toc(1, 2)), (1, 2, "https://my.site/b", toc(2, 3)), (1, 3, "https://my.site/b", toc(4)), (2, 1, "https://my.site/d", toc()), (3, 1, "https://other.site/", toc(1)), (4, 1, "https://novgo.net/e", '<a href="chapter-5">no slash</a><a href="/e/chapter-9">Chapter 9</a>')]
+    df = extraction.with_profile(spark.createDataFrame(pages, "novel_id bigint, page bigint, url string, html string"), extraction.site_profiles(spark, profiles))
+    got = sorted((r.novel_id, r.number, r.title, r.url) for r in listed_chapters(df).collect())
+    assert got == [(1, n, f"T{n}", f"https://my.site/c/chapter-{n}") for n in (1, 2, 3)] + [(4, 9, "Chapter 9", "https://novgo.net/e/chapter-9")]
+    chapter = spark.createDataFrame([("https://my.site/c/1", "<title>T</title><main><div class='prose'><p>a<p> b</div></main><p>c")], "url string, html string")
+    row = extraction.extract(extraction.with_profile(chapter, profiles), rules).first()
+    assert (row.title, row.body) == ("T", ["a", "b"])

@@ -193,3 +193,33 @@ def test_books_with_equal_names_stay_apart(spark, tmp_path):
     docs = spark.createDataFrame(rows, "path string, novel_id bigint, title string, author string, place bigint, file string, heading string, xhtml string")
     got = {r.path: r.chapters for r in write_books(docs, str(tmp_path)).collect()}
     assert got == {"a/b (1).epub": 1, "a/b (2).epub": 1, "a/c.epub": 1}
+
+
+def test_listings(lib, spark):
+    status = {r.novel_id: (r.line, r.gap_line) for r in reports.status_lines(lib.novels, lib.sources, lib.chapters, lib.chapter_gaps).collect()}
+    assert status == {1: ("#1 First — 1 chapters [live]", None), 5: ("#5 Second — 2 chapters [likely_complete]", "gaps: 3")}
+    seen = spark.createDataFrame([(1, 1, 0, 4, "d"), (1, 1, 1, 2, "b"), (1, 1, 2, 2, "again"), (1, 1, 3, 4, "late")], "novel_id bigint, source_id bigint, pos bigint, number bigint, title string")
+    assert reports.list_lines(reports.list_ends(seen)).first().lines == ["2 chapters discovered.", "  first: ch.2 b", "  last:  ch.4 d"]
+    told = {r.key: r.value for r in reports.config_lines(spark, config.Config(retention_days=4)).collect()}
+    assert told["retention_days"] == "4" and told["auto_export"] == "True" and len(told) == 10
+    many = spark.createDataFrame([(1, n, T0) for n in range(40, 20, -1)], "novel_id bigint, number bigint, detected_at timestamp")
+    assert reports.gap_summary(many, 3).first().listed == "21, 22, 23, … (+17 more)"
+
+
+def test_stored_against_remote(spark):
+    stored = spark.createDataFrame([(1, n) for n in (*range(1, 6), 3000, 3001, 9000)] + [(2, 1)], "novel_id bigint, number bigint")
+    remote = spark.createDataFrame([(1, n) for n in (2, 4, 5, 3000, 3001, 9999, 2)] + [(2, 7), (3, 1)], "novel_id bigint, number bigint")
+    got = {r.novel_id: tuple(r)[1:] for r in reports.stored_against_remote(stored, remote).collect()}
+    assert got == {1: (8, 5, 3, 9000, 9999, [2, 5, 3001]), 2: (1, 0, 1, 1, 7, None), 3: (0, 0, 0, None, 1, None)}
+    text = "novel_id bigint, number bigint, paragraphs array<string>"
+    mine = spark.createDataFrame([(1, 2, ["Same.", "b"]), (1, 5, ["Log in to continue"]), (1, 3001, ["mine", "c"])], text)
+    theirs = spark.createDataFrame([(1, 2, ["same", "B!"]), (1, 5, ["real prose"]), (1, 3001, ["theirs", "c", "d"]), (1, 4, ["x"])], text)
+    said = reports.compare_samples(reports.stored_against_remote(stored, remote), mine, theirs)
+    assert rows(said, "number", "verdict") == [(2, "same"), (5, "stub"), (3001, "different")]
+
+
+def test_retitle_pass(lib, spark):
+    seen = spark.createDataFrame([(1, 1, 1, "ok", "New"), (5, 2, 1, "ok", "t"), (5, 2, 2, "not_found", None), (1, 3, 1, "ok", "of a fallback"), (1, 1, 9, "ok", "not held")], "novel_id bigint, source_id bigint, number bigint, outcome string, title string")
+    out, changed = maintenance.retitle_pass(lib.chapters, lib.sources, seen)
+    assert rows(changed, "novel_id", "number", "n_title") == [(1, 1, "New")]
+    assert rows(out, "novel_id", "number", "title") == [(1, 1, "New"), (5, 1, "t"), (5, 2, "t")]
