@@ -13,11 +13,9 @@ doc_id, then place) is kept.
 The pairs of a group of up to ``whole`` lines are all verified. The lines of a
 larger group are first paired with a few anchors (its least and greatest line
 and those of two other orders), which are aggregates, and components are
-found. Groups that still hold several components are split by further bands,
-of twice the values and four times as many, and these once more (two lines at
-the limit share none of them with chances of 0.001 and 0.1, at 0.85 with less
-than 0.01). In the groups of the last ones that still hold several components,
-all pairs of lines of different components are verified.
+found. Lines of groups that then still hold several components are joined
+without loss: each by its rarest shingles, of which two similar lines share
+one, with bounds by size and position, and only across components.
 
 Edge cases: a null text stays null and has no lines; a null ``doc_id`` comes
 first; rows that repeat both doc_id and text are one document, returned each;
@@ -39,6 +37,8 @@ from .components import connected_components
 #: Rows of 8 to 24 bytes up to which a counted table is broadcast; beyond that, both sides are shuffled.
 MOST_ROWS = 1_000_000
 _SALTS = 16
+#: Buckets of shingles whose counts are broadcast, 16 bytes each.
+_BUCKETS = 1 << 20
 
 
 def _let(x: Column, f) -> Column:
@@ -118,14 +118,32 @@ def open_groups(large: DataFrame, same: DataFrame) -> DataFrame:
     return keep(named.join(several, "key", "left_semi"), "open")
 
 
-def within(sets: DataFrame, groups: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
-    """a and b: the links between different components inside each of ``groups`` (key, h1, c). Pairs are verified where they meet, so that no other pair is a row."""
-    rows = keep(groups.join(sets, "h1").select("key", "h1", "c", "n", "x"), "within")
-    side = lambda k: rows.select("key", F.col("h1").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("x").alias(f"x{k}"))
-    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    close = F.size(F.array_intersect(of(F.col("xa")), of(F.col("xb")))) * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9
-    out = keep(side("a").join(side("b"), "key").filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & sizes & close).select("a", "b").distinct(), "across")
-    drop_kept(out.sparkSession, rows)
+def across(sets: DataFrame, groups: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
+    """a and b: all links between different components among the lines of ``groups`` (key, h1, c).
+
+    A line is listed under the first of its shingles, rare ones first, so many
+    that a similar line must share one. Any fixed order is exact; this one goes
+    by counts over ``_BUCKETS`` buckets of shingles, which is what is broadcast.
+    Under each shingle, only lines outside its most frequent component look for
+    partners, so that a large group of near copies is not paired with itself.
+    """
+    spark = groups.sparkSession
+    rows = keep(groups.select("h1", "c").distinct().join(sets, "h1").select("h1", "c", "n", F.array_distinct(of(F.col("x"))).alias("x")), "sets")
+    each = rows.select("h1", "c", "n", F.explode("x").alias("t")).withColumn("bucket", F.pmod("t", F.lit(_BUCKETS)))
+    counts = each.groupBy("bucket").agg(F.count("*").alias("m"))
+    ranked = each.join(F.broadcast(counts), "bucket").groupBy("h1", "c", "n").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("s"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    firsts = keep(ranked.select("h1", "c", "n", F.posexplode(F.slice(F.col("s.t"), F.lit(1), prefix)).alias("i", "t")), "firsts")
+    main = firsts.groupBy("t", "c").agg(F.count("*").alias("k")).groupBy("t").agg(F.max_by("c", F.struct("k", "c")).alias("c0"), F.count("*").alias("k")).filter("k > 1").select("t", "c0")
+    met = keep(firsts.join(main, "t"), "met")
+    side = lambda d, k: d.select("t", *[F.col(c).alias(f"{c}{k}") for c in ("h1", "c", "n", "i")])
+    need = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    fits = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
+    pairs = side(met.filter("c <> c0"), "a").join(side(met, "b"), "t").filter((F.col("ca") != F.col("cb")) & fits)
+    pairs = keep(pairs.select(F.least("h1a", "h1b").alias("a"), F.greatest("h1a", "h1b").alias("b")).distinct(), "pairs")
+    out = keep(links(rows, pairs, lambda x: x, similarity), "across")
+    for x in (rows, firsts, met, pairs):
+        drop_kept(spark, x)
     return out
 
 
@@ -142,13 +160,6 @@ def _joined(same: DataFrame, further: DataFrame) -> DataFrame:
     return keep(connected_components(same.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further)), "same")
 
 
-def _apart(pairs: DataFrame, same: DataFrame) -> DataFrame:
-    """The pairs that are in different components."""
-    side = lambda k: same.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.filter(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
-
-
 def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], of: Callable[[Column], Column], similarity: float, whole: int = 8) -> DataFrame:
     """node and component for each h1 of ``keyed`` (h1, keys) that links to another by a shared key.
 
@@ -165,20 +176,10 @@ def similar(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], of: Callab
         drop_kept(spark, x)
     if large.isEmpty():
         return same
-    # groups of many lines fall apart by bands of more values, of which there are more
-    for bins, rows, turns in ((40, 8, 1), (10, 16, 8)):
-        groups = open_groups(large, same)
-        if groups.isEmpty():
-            return same
-        some = known.join(groups.select("h1").distinct(), "h1", "left_semi")
-        each = some.select("h1", F.explode(F.sequence(F.lit(1), F.lit(turns))).alias("turn"), of(F.col("x")).alias("s"))
-        bands = banded(keep(with_bands(each, F.transform("s", lambda x: F.xxhash64("turn", x)), bins, rows).select("h1", "keys"), "finer"))
-        pairs, large = candidates(bands, whole)
-        same = _joined(same, links(known, _apart(pairs, same), of, similarity))
     groups = open_groups(large, same)
     if groups.isEmpty():
         return same
-    found = within(known, groups, of, similarity)
+    found = across(known, groups, of, similarity)
     return same if found.isEmpty() else _joined(same, found)
 
 

@@ -324,6 +324,18 @@ def test_a_group_of_thousands_that_are_similar_in_pairs_only(spark):
     assert joined(spark, sets, [7]) == {i: i - i % 2 for i in sets}
 
 
+def test_a_large_group_at_the_limit_loses_nothing(spark):
+    """One band of 5,000 lines: pairs at exactly 0.8, pairs just below it, and a thousand copies of one line that differ from it by one shingle."""
+    sets = {}
+    for i in range(2000):
+        own = [1000 * (i // 2 + 1) + k for k in range(15)]
+        # of 18 shingles, 16 are shared by an even pair (16 of 20) and 15 by an odd one (15 of 21)
+        more = [1, 10_000_000 + 3 * i, 10_000_001 + 3 * i] if i // 2 % 2 == 0 else [10_000_000 + 3 * i + k for k in range(3)]
+        sets[i] = own + more
+    sets |= {i: [*range(100_000_000, 100_000_030), 200_000_000 + i] for i in range(2000, 5000)}
+    assert joined(spark, sets, [7]) == {i: i - i % 2 for i in range(2000) if i // 2 % 2 == 0} | dict.fromkeys(range(2000, 5000), 2000)
+
+
 def test_a_large_group_of_near_copies(spark):
     """One band, links along a chain that the anchors see little of, and lines that link to nothing."""
     sets = {i: list(range(i, i + 30)) for i in range(120)} | {1000 + i: [*range(2000 + 40 * i, 2025 + 40 * i), 5, 50] for i in range(60)}
