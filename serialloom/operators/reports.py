@@ -98,21 +98,20 @@ def stored_against_remote(stored: DataFrame, remote: DataFrame) -> DataFrame:
     """novel_id, n_stored, n_common, n_only_stored, stored_last, remote_last and samples (the first, middle and last number on both sides).
 
     Numbers are marked by one grouping over both sides. The middle one is found by
-    counts of blocks of numbers, and ranked within its block only, so that no
-    novel is sorted as a whole.
+    counts of blocks of numbers, which list their common numbers (``_BLOCK`` at
+    most), so that no novel is sorted as a whole and both sides are read once.
     """
     side = lambda df, s, r: df.select("novel_id", "number", F.lit(s).alias("s"), F.lit(r).alias("r"))
     each = side(stored, 1, 0).unionByName(side(remote, 0, 1)).groupBy("novel_id", "number").agg(F.max("s").alias("s"), F.max("r").alias("r"))
-    each = each.withColumn("both", F.col("s") + F.col("r") == 2).withColumn("block", F.floor(F.col("number") / _BLOCK))
+    each = each.withColumn("common", F.when(F.col("s") + F.col("r") == 2, F.col("number"))).withColumn("block", F.floor(F.col("number") / _BLOCK))
     of = lambda c, x: F.max(F.when(c, x))
     number = F.col("number")
-    by_block = each.groupBy("novel_id", "block").agg(F.sum("s").alias("n_stored"), F.count_if("both").alias("n_common"), of(F.col("s") == 1, number).alias("stored_last"), of(F.col("r") == 1, number).alias("remote_last"), F.min(F.when(F.col("both"), number)).alias("first"), of(F.col("both"), number).alias("last"))
-    total = by_block.groupBy("novel_id").agg(F.sum("n_stored").alias("n_stored"), F.sum("n_common").alias("n_common"), F.max("stored_last").alias("stored_last"), F.max("remote_last").alias("remote_last"), F.min("first").alias("first"), F.max("last").alias("last"))
-    upto = Window.partitionBy("novel_id").orderBy("block")
-    held = by_block.select("novel_id", "block", "n_common", F.sum("n_common").over(upto).alias("through")).join(total.select("novel_id", F.floor(F.col("n_common") / 2).alias("want")), "novel_id")
-    held = held.filter((F.col("want") < F.col("through")) & (F.col("want") >= F.col("through") - F.col("n_common"))).select("novel_id", "block", (F.col("want") - F.col("through") + F.col("n_common") + 1).alias("place"))
-    inside = each.filter("both").join(held, ["novel_id", "block"]).withColumn("rn", F.row_number().over(Window.partitionBy("novel_id", "block").orderBy("number"))).filter("rn = place").select("novel_id", F.col("number").alias("middle"))
-    met = total.join(inside, "novel_id", "left")
+    by_block = each.groupBy("novel_id", "block").agg(F.sum("s").alias("n_stored"), F.count("common").alias("n_common"), of(F.col("s") == 1, number).alias("stored_last"), of(F.col("r") == 1, number).alias("remote_last"), F.sort_array(F.collect_list("common")).alias("listed"))
+    novel = Window.partitionBy("novel_id")
+    held = by_block.withColumn("through", F.sum("n_common").over(novel.orderBy("block"))).withColumn("place", F.floor(F.sum("n_common").over(novel) / 2) - F.col("through") + F.col("n_common"))
+    middle = F.when((F.col("place") >= 0) & (F.col("place") < F.col("n_common")), F.get("listed", F.col("place").cast("int")))
+    ends = [F.min(F.get("listed", F.lit(0))).alias("first"), F.max(middle).alias("middle"), F.max(F.get("listed", F.col("n_common").cast("int") - 1)).alias("last")]
+    met = held.groupBy("novel_id").agg(F.sum("n_stored").alias("n_stored"), F.sum("n_common").alias("n_common"), F.max("stored_last").alias("stored_last"), F.max("remote_last").alias("remote_last"), *ends)
     return met.select("novel_id", "n_stored", "n_common", (F.col("n_stored") - F.col("n_common")).alias("n_only_stored"), "stored_last", "remote_last", F.when(F.col("n_common") > 0, F.array("first", "middle", "last")).alias("samples"))
 
 

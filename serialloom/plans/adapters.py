@@ -13,9 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a dealt table that one task gets.
+_DEALT = 250_000
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, columns: list[str]) -> DataFrame:
+    """These columns of the table, dealt by ``key``: what is grouped or joined by it is not shuffled again.
+
+    The number of tasks follows the rows (a count that reads no column), so that a task's memory does not grow with the table.
+    """
+    rows = table(spark, sf_dir, name)
+    return rows.select(*columns).repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // _DEALT)), key)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """novel_id, number, source_id, outcome, fetched_at, exported: one row per (novel, source, number)."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    l = dealt(spark, sf_dir, "lineitem", "l_orderkey", ["l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"])  # noqa: E741
     last = F.max_by(F.struct("l_returnflag", "l_linestatus", "l_shipdate"), F.struct("l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"))
     one = l.groupBy("l_orderkey", "l_suppkey", "l_linenumber").agg(last.alias("o")).select("l_orderkey", "l_suppkey", "l_linenumber", "o.*")
     return one.select(
@@ -52,7 +65,8 @@ GAPS = (
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id (the supplier's), novel_id and priority."""
-    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("novel_id"), F.col("l_suppkey").alias("source_id")).distinct()
+    l = dealt(spark, sf_dir, "lineitem", "l_orderkey", ["l_orderkey", "l_suppkey"])  # noqa: E741
+    pairs = l.select(F.col("l_orderkey").alias("novel_id"), F.col("l_suppkey").alias("source_id")).distinct()
     return pairs.withColumn("priority", F.row_number().over(Window.partitionBy("novel_id").orderBy("source_id")).cast("bigint"))
 
 

@@ -22,7 +22,8 @@ NOW = "2002-01-01 00:00:00"
 
 
 def library(spark, d) -> Library:
-    o, l = a.table(spark, d, "orders"), a.table(spark, d, "lineitem")  # noqa: E741
+    o = a.table(spark, d, "orders")
+    l = a.dealt(spark, d, "lineitem", "l_orderkey", ["l_orderkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_linestatus"])  # noqa: E741
     k = F.col("o_orderkey")
     hint = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "ongoing").otherwise("unknown")
     state = F.when(k % 3 == 0, "backfilling").when(k % 3 == 1, "live").otherwise("likely_complete")
@@ -212,7 +213,7 @@ SELECT novel_id, n AS n_stored, coalesce(k, 0) AS n_common, n - coalesce(k, 0) A
 )
 def remote_samples(spark, d):
     """Stored chapters against a remote list, with the three numbers that are compared."""
-    remote = a.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("novel_id"), (F.col("l_partkey") % 9 + 1).alias("number"))
+    remote = a.dealt(spark, d, "lineitem", "l_orderkey", ["l_orderkey", "l_partkey"]).select(F.col("l_orderkey").alias("novel_id"), (F.col("l_partkey") % 9 + 1).alias("number"))
     return reports.stored_against_remote(library(spark, d).chapters, remote).withColumn("samples", F.array_join("samples", ", "))
 
 

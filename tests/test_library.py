@@ -223,3 +223,22 @@ def test_retitle_pass(lib, spark):
     out, changed = maintenance.retitle_pass(lib.chapters, lib.sources, seen)
     assert rows(changed, "novel_id", "number", "n_title") == [(1, 1, "New")]
     assert rows(out, "novel_id", "number", "title") == [(1, 1, "New"), (5, 1, "t"), (5, 2, "t")]
+
+
+def test_a_task_gets_no_more_lines_as_the_table_grows(spark, tmp_path, monkeypatch):
+    from serialloom.plans import adapters, library
+
+    spark.range(900).selectExpr("id % 300 AS l_orderkey", "id % 7 AS l_suppkey", "CAST(id % 5 AS INT) AS l_linenumber", "id AS l_partkey", "TIMESTAMP '2000-01-01' AS l_shipdate", "'F' AS l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(300).selectExpr("id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "TIMESTAMP '2000-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(adapters, "_DEALT", 10)
+    lines = lambda: adapters.dealt(spark, str(tmp_path), "lineitem", "l_orderkey", ["l_orderkey"])
+    assert lines().rdd.getNumPartitions() == 90
+    for query in (library.list_ends, library.remote_samples, library.novel_metadata, library.sources_by_url):
+        out = query(spark, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        # lines are grouped where they were dealt; the first three need no other exchange of them
+        assert "(l_orderkey" in "".join(x.split("hashpartitioning")[1] for x in dealt) and all(", 90)" in x for x in dealt if "l_orderkey" in x)
+        if query in (library.list_ends, library.remote_samples):
+            assert len(dealt) == (1 if query is library.list_ends else 2)
+        assert out.count() > 0
