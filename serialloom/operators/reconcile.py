@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_gate_stub
 from ..session import keep
-from .gaps import KEY, contiguity, first_missing, missing, union_of_sources
+from .gaps import KEY, contiguity
 
 
 def with_priority(discovered: DataFrame, sources: DataFrame) -> DataFrame:
@@ -74,50 +74,31 @@ def sync_pass(novels: DataFrame, sources: DataFrame, chapters: DataFrame, gaps:
     Sources in ``errors`` were not discovered in that mode. A stub is taken on
     a first fetch, but never replaces anything.
     """
-    ranked = with_priority(_dedupe_modes(discovered), sources)
+    ranked = _of_sources(_dedupe_modes(discovered), sources)
     if errors is not None:
         ranked = ranked.join(errors.select("novel_id", "source_id", "mode"), ["novel_id", "source_id", "mode"], "left_anti")
     window = contiguity(chapters, ranked.filter("mode = 'latest'"))
     mode = novels.select(F.col("id").alias("novel_id"), "derived_state").join(window.select("novel_id", "contiguous"), "novel_id", "left")
-    mode = mode.select("novel_id", F.when((F.col("derived_state") == "backfilling") | ~F.coalesce("contiguous", F.lit(True)), "full").otherwise("latest").alias("mode"))
-    # read several times below: worked out once, and written where all executors see it
-    seen = keep(ranked.join(mode, ["novel_id", "mode"]), "seen")
-    target = union_of_sources(seen)
-    need = first_missing(missing(target, chapters), limit)
-    tried = seen.join(need, KEY).join(fetched.select("novel_id", "source_id", "number", "outcome", F.col("title").alias("got_title"), "paragraphs", "message"), ["novel_id", "source_id", "number"])
-    tried = keep(tried, "tried")
-    walk = attempts(tried)
-    won = ranked_pick(tried.select(*KEY, "priority", "source_id", "outcome", F.coalesce("got_title", "title").alias("title"), "paragraphs"))
+    mode = keep(mode.select("novel_id", F.when((F.col("derived_state") == "backfilling") | ~F.coalesce("contiguous", F.lit(True)), "full").otherwise("latest").alias("mode")), "mode")
+    # joined by the novel alone, by which the rows may be dealt already
+    takes = mode.select("novel_id", (F.col("mode") == "full").alias("whole"))
+    seen = ranked.join(takes, "novel_id").filter(F.when(F.col("whole"), F.col("mode") == "full").otherwise(F.col("mode") == "latest")).drop("whole")
+    numbers = keep(_numbers(seen, fetched, chapters, gaps, limit), "numbers")
     when = F.lit(now).cast("timestamp")
-    new = won.select(*KEY, F.coalesce("title", F.lit("")).alias("title"), F.array_join("paragraphs", "\n\n").alias("body"), "source_id", when.alias("fetched_at"), F.lit(False).alias("exported"), F.lit(None).cast("timestamp").alias("exported_at"), "priority")
-    held = chapters.unionByName(new.drop("priority"))
-    marks = walk.filter("NOT primary_ok AND primary_404").select(*KEY)
-    gaps1 = gaps.join(walk.filter("primary_ok").select(*KEY), KEY, "left_anti")
-    gaps1 = gaps1.unionByName(marks.join(gaps1.select(*KEY), KEY, "left_anti").withColumn("detected_at", when))
-    failures = walk.filter("ok_rank IS NULL AND NOT primary_404").select(*KEY)
-    offers = seen.filter("priority = 1").select(*KEY, "source_id")
-    first = fetched.join(offers, ["novel_id", "source_id", "number"]).select(*KEY, F.col("outcome").alias("u_outcome"), F.col("title").alias("u_title"), F.col("paragraphs").alias("u_paragraphs"))
-    up = upgrade_candidates(held, gaps1, offers).join(first, KEY)
-    stub = is_gate_stub(F.array_join("u_paragraphs", " "))
-    up = up.select(*KEY, "primary_id", "u_title", "u_paragraphs", F.when((F.col("u_outcome") == "ok") & ~stub, "upgraded").when((F.col("u_outcome") == "not_found") | (F.col("u_outcome") == "ok"), "gap").otherwise("error").alias("what"))
-    gaps2 = gaps1.unionByName(up.filter("what = 'gap'").select(*KEY).withColumn("detected_at", when))
-    fresh = up.filter("what = 'upgraded'").select(*KEY, F.col("primary_id").alias("n_source"), F.col("u_title").alias("n_title"), F.array_join("u_paragraphs", "\n\n").alias("n_body"))
-    held2 = replace_content(held, fresh)
-    # what is true of each number, put together by one grouping; a copy that was replaced has the key that it had
-    flags = {"t": target, "h": chapters.select(*KEY).unionByName(new.select(*KEY)), "g": gaps2, "n": new, "f": new.filter("priority <> 1"), "u": up.filter("what = 'upgraded'"), "x": failures}
-    marked = None
-    for name, rows in flags.items():
-        one = rows.select(*KEY, F.lit(1).alias(name))
-        marked = one if marked is None else marked.unionByName(one, allowMissingColumns=True)
-    each = marked.groupBy(*KEY).agg(*[F.coalesce(F.max(name), F.lit(0)).alias(name) for name in flags])
-    counts = each.groupBy("novel_id").agg(
-        F.sum("t").alias("target"),
-        F.count_if(F.expr("t = 1 AND h = 0 AND g = 0")).alias("open"),
-        F.sum("n").alias("newly_fetched"),
-        F.sum("f").alias("from_fallback"),
-        F.sum("u").alias("upgraded"),
-        F.sum("x").alias("failed"),
-        F.array_sort(F.collect_list(F.when(F.expr("g = 1 AND h = 0"), F.col("number")))).alias("gaps"),
+    new = numbers.filter("n").select(*KEY, F.coalesce("won.title", F.lit("")).alias("title"), F.array_join("won.paragraphs", "\n\n").alias("body"), "won.source_id", when.alias("fetched_at"), F.lit(False).alias("exported"), F.lit(None).cast("timestamp").alias("exported_at"))
+    up = numbers.filter("what IS NOT NULL")
+    fresh = up.filter("what = 'upgraded'").select(*KEY, F.col("main.source_id").alias("n_source"), F.col("main.title").alias("n_title"), F.array_join("main.paragraphs", "\n\n").alias("n_body"))
+    held2 = replace_content(chapters.unionByName(new), fresh)
+    gaps2 = gaps.join(numbers.filter("first_ok").select(*KEY), KEY, "left_anti").unionByName(numbers.filter("g_new").select(*KEY).withColumn("detected_at", when))
+    failures = numbers.filter("x").select(*KEY)
+    counts = numbers.groupBy("novel_id").agg(
+        F.count_if("t").alias("target"),
+        F.count_if(F.expr("t AND NOT h AND NOT g")).alias("open"),
+        F.count_if("n").alias("newly_fetched"),
+        F.count_if(F.expr("n AND ok_rank <> 1")).alias("from_fallback"),
+        F.count_if(F.expr("what = 'upgraded'")).alias("upgraded"),
+        F.count_if("x").alias("failed"),
+        F.array_sort(F.collect_list(F.when(F.expr("g AND NOT h"), F.col("number")))).alias("gaps"),
     )
     state = novels.select(F.col("id").alias("novel_id"), F.col("derived_state").alias("was")).join(counts, "novel_id", "left").join(mode, "novel_id")
     state = state.na.fill(0, ["target", "open", "newly_fetched", "from_fallback", "upgraded", "failed"])
@@ -129,6 +110,58 @@ def sync_pass(novels: DataFrame, sources: DataFrame, chapters: DataFrame, gaps:
     return SyncResult(held2, gaps2, source_progress(sources, seen, now), novels2, report, failures, up.select(*KEY, "what"))
 
 
+def _of_sources(discovered: DataFrame, sources: DataFrame) -> DataFrame:
+    """``discovered`` with the priority of its source; a source that the novel does not have is left out."""
+    rows = discovered.unionByName(sources.select("novel_id", F.col("id").alias("source_id"), "priority", F.lit(True).alias("own")), allowMissingColumns=True)
+    of = Window.partitionBy("novel_id", "source_id")
+    rows = rows.withColumn("priority", F.max("priority").over(of)).withColumn("known", F.max("own").over(of))
+    return rows.filter("known AND own IS NULL").drop("known", "own")
+
+
+def _numbers(seen: DataFrame, fetched: DataFrame, chapters: DataFrame, gaps: DataFrame, limit: int) -> DataFrame:
+    """What the pass decides, a row for each number of each novel: the flags t (in the target), h (held in the end), n (new), g (a gap in the end), g_new
+    (one that was none), first_ok (fetched from the primary) and x (failed); ok_rank, won (what is taken), main (what the primary gave) and what (of an upgrade).
+
+    Unions and groups whose keys begin with the novel in place of joins, so that inputs dealt by it are shuffled no more.
+    """
+    got = F.struct("outcome", "title", "paragraphs")
+    each = seen.select("novel_id", "source_id", "number", "priority", "title", F.lit(True).alias("listed"))
+    each = each.unionByName(fetched.filter("number IS NOT NULL").select("novel_id", "source_id", "number", got.alias("got")), allowMissingColumns=True)
+    best = F.min_by("got", F.when(F.col("got.outcome") == "ok", 0).when(F.col("got").isNotNull(), 1))
+    each = each.groupBy("novel_id", "source_id", "number").agg(F.max("listed").alias("t"), F.max("priority").alias("priority"), F.max("title").alias("title"), best.alias("got")).filter("t")
+    facts = each.unionByName(chapters.select(*KEY, F.col("source_id").alias("by"), F.lit(True).alias("had")), allowMissingColumns=True)
+    facts = facts.unionByName(gaps.select(*KEY, F.lit(True).alias("gap")), allowMissingColumns=True)
+    ok, first = F.col("got.outcome") == "ok", F.col("priority") == 1
+    taken = F.struct("source_id", F.coalesce("got.title", "title").alias("title"), F.col("got.paragraphs").alias("paragraphs"))
+    offer = F.struct("source_id", F.col("got").isNotNull().alias("asked"), F.col("got.outcome").alias("outcome"), F.col("got.title").alias("title"), F.col("got.paragraphs").alias("paragraphs"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    met = facts.groupBy(*KEY).agg(
+        F.count("got").alias("tried"),
+        F.min(F.when(ok, F.col("priority"))).alias("ok_rank"),
+        F.bool_or(first & (F.col("got.outcome") == "not_found")).alias("gone"),
+        F.min_by(taken, F.when(ok, F.col("priority"))).alias("won"),
+        F.min_by(offer, F.when(first, F.col("source_id"))).alias("main"),
+        F.max("by").alias("by"),
+        *[no(F.max(c)).alias(f"is_{c}") for c in ("t", "had", "gap")],
+    )
+    lacking = F.col("is_t") & ~F.col("is_had")
+    if limit:
+        met = met.withColumn("rn", F.row_number().over(Window.partitionBy("novel_id", lacking).orderBy("number")))
+        lacking &= F.col("rn") <= limit
+    met = met.withColumn("wanted", lacking)
+    walked = F.col("wanted") & (F.col("tried") > 0)
+    met = met.select("*", no(walked & F.col("ok_rank").isNotNull()).alias("n"), no(walked & (F.col("ok_rank") == 1)).alias("first_ok"), no(walked & F.col("gone")).alias("p404"), no(walked & F.col("ok_rank").isNull() & ~no(F.col("gone"))).alias("x"))
+    met = met.withColumn("h", F.col("is_had") | F.col("n")).withColumn("g1", F.col("is_gap") & ~F.col("first_ok") | F.col("p404") & ~F.col("first_ok"))
+    # an upgrade: held from elsewhere, no gap, offered and fetched
+    holder = F.when(F.col("n"), F.col("won.source_id")).otherwise(F.col("by"))
+    asked = F.col("h") & ~F.col("g1") & no(F.col("main.asked")) & ~holder.eqNullSafe(F.col("main.source_id"))
+    stub = is_gate_stub(F.array_join("main.paragraphs", " "))
+    what = F.when((F.col("main.outcome") == "ok") & ~stub, "upgraded").when((F.col("main.outcome") == "not_found") | (F.col("main.outcome") == "ok"), "gap").otherwise("error")
+    met = met.withColumn("what", F.when(asked, what))
+    met = met.withColumn("g", F.col("g1") | no(F.col("what") == "gap"))
+    return met.select(*KEY, F.col("is_t").alias("t"), "h", "n", "g", (F.col("g") & ~F.col("is_gap")).alias("g_new"), "first_ok", "x", "ok_rank", F.when(F.col("n"), F.col("won")).alias("won"), F.when(F.col("what").isNotNull(), F.col("main")).alias("main"), "what")
+
+
 def _dedupe_modes(discovered: DataFrame) -> DataFrame:
     """Later rows win, within each mode: an aggregate, which is summed before it is shuffled."""
     key = ["novel_id", "source_id", "mode", "number"]

@@ -422,11 +422,11 @@ def sync_pass(spark, d):
     # a supplier serves many orders; as a source of one novel it is known by both
     ident = lambda s, n: F.xxhash64(s, n)
     sources = src.select(ident("source_id", "novel_id").alias("id"), "novel_id", F.lit("s").alias("source_name"), F.col("key").alias("url"), "priority", F.lit(None).cast("bigint").alias("last_seen_chapter"), F.lit(None).cast("timestamp").alias("last_synced_at"))
-    full = seen.select("novel_id", ident("source_id", "novel_id").alias("source_id"), F.lit("full").alias("mode"), F.col("number").alias("pos"), "number", F.lit("t").alias("title"), F.lit("u").alias("url"))
-    discovered = full.unionByName(full.withColumn("mode", F.lit("latest")))
+    modes = F.explode(F.array(F.lit("full"), F.lit("latest"))).alias("mode")
+    discovered = seen.select("novel_id", ident("source_id", "novel_id").alias("source_id"), modes, F.col("number").alias("pos"), "number", F.lit("t").alias("title"), F.lit("u").alias("url"))
     fetched = seen.select("novel_id", ident("source_id", "novel_id").alias("source_id"), "number", "outcome", F.lit("t").alias("title"), F.array(F.lit("x")).alias("paragraphs"), F.lit(None).cast("string").alias("message"))
     held = seen.filter("exported AND outcome = 'ok'").groupBy("novel_id", "number").agg(F.min(ident("source_id", "novel_id")).alias("source_id"), F.max("fetched_at").alias("fetched_at"))
     chapters = held.select("novel_id", "number", F.lit("t").alias("title"), F.lit("x").alias("body"), "source_id", "fetched_at", F.lit(True).alias("exported"), F.col("fetched_at").alias("exported_at"))
-    none = spark.createDataFrame([], "novel_id bigint, number bigint, detected_at timestamp")
+    none = chapters.select("novel_id", "number", F.col("fetched_at").alias("detected_at")).filter(F.lit(False))
     done = reconcile.sync_pass(a.novels(spark, d), sources, chapters, none, discovered, fetched, a.NOW)
     return done.report.select("novel_id", "prev_state", "new_state", "target", "newly_fetched", "from_fallback", "failed")

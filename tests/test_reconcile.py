@@ -99,3 +99,21 @@ def test_divergence(spark):
     src = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "id bigint, priority bigint")
     got = divergence(with_priority(seen, src)).collect()
     assert [(r.novel_id, r.hi, r.lo, r.detail) for r in got] == [(1, 5, 3, "1=5, 2=3")]
+
+
+def test_a_pass_over_dealt_tables_shuffles_no_number_again(spark, tmp_path):
+    """What is decided of a number is found in the tasks that have its novel: lines are dealt once for each use, and nothing but that."""
+    from serialloom.operators import reconcile
+    from serialloom.plans.catalog import QUERIES
+
+    spark.range(40).selectExpr("id AS o_orderkey", "id AS o_custkey", "1D AS o_totalprice", "TIMESTAMP '2000-01-01' AS o_orderdate", "'F' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = ["id % 40 AS l_orderkey", "id AS l_partkey", "id % 3 AS l_suppkey", "CAST(id % 5 AS INT) AS l_linenumber", "1D AS l_quantity", "1D AS l_extendedprice", "IF(id % 4 = 0, 'R', 'N') AS l_returnflag", "IF(id % 2 = 0, 'F', 'O') AS l_linestatus", "TIMESTAMP '2000-01-01' AS l_shipdate"]
+    spark.range(200).selectExpr(*lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans, keep = {}, reconcile.keep
+    reconcile.keep = lambda df, what: (plans.setdefault(what, df._jdf.queryExecution().executedPlan().toString()), keep(df, what))[1]
+    try:
+        assert QUERIES["sync_pass"](spark, str(tmp_path)).count() == 40
+    finally:
+        reconcile.keep = keep
+    exchanged = [x for x in plans["numbers"].splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" not in x]
+    assert all("number" not in x for x in exchanged), exchanged
