@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from serialloom.llm.components import connected_components
 from serialloom.llm.decontam import contaminated
 from serialloom.llm.lines import dedup_lines
 from serialloom.llm.minhash import near_texts
 from serialloom.llm.mixing import mix_sources
+from serialloom.llm.simhash import near_duplicates
 from serialloom.llm.toxicity import learn, score_texts
 from serialloom.session import keep
 
@@ -48,12 +50,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with a Jaccard similarity of 0.8 over five-word shingles, the row with the smallest doc_id (a null one comes last) stays.
+    """Of each group of texts whose SimHash fingerprints differ in 3 bits at most, or with a Jaccard similarity of 0.8 over five-word shingles, the row with the smallest doc_id (a null one comes last) stays.
 
-    Null and empty texts are alike, without words. By MinHash, as no SimHash distance that blocks can find covers 0.8. A row is
-    known by its doc_id and text; of rows that repeat both, one stays. Columns of any name are passed as they are.
+    Null and empty texts are alike, without words. Fingerprints link as in op3; MinHash adds the pairs at 0.8, which no SimHash
+    distance that blocks can find covers. A row is known by its doc_id and text; of rows that repeat both, one stays. Columns of
+    any name are passed as they are.
     """
     found = keep(near_texts(docs.select("doc_id", "text")), "near")
+    # the classes of both are joined: those by MinHash that share one by SimHash
+    alike = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text")).select(F.col("doc_id").alias("th"), "component_id").distinct()
+    both = keep(found.select("th", "component").distinct().join(alike, "th").select("component", "component_id").distinct(), "both")
+    least = both.groupBy("component_id").agg(F.min("component").alias("least"))
+    tied = keep(both.join(least, "component_id").filter("component <> least").select("component", "least"), "tied")
+    if not tied.isEmpty():
+        joined = connected_components(tied).select("node", F.col("component").alias("of"))
+        found = found.join(joined, F.col("component") == F.col("node"), "left").withColumn("component", F.coalesce("of", "component"))
     at = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("th").alias("lead"))
     stays = found.groupBy("component").agg(F.min(at).alias("at")).select("at.id", "at.lead")
     own, back = _aside(docs, "id", "lead", "__text")

@@ -103,3 +103,10 @@ def test_stages_pass_clashing_columns_and_empty_tables(spark, corpus):
             assert all(r[n] == f"own {n}" for r in now.collect() for n in names)
         assert (now.count() == 0) == (count == 0)
         assert corpus_pipeline.mixing(spark, now, folder).count() == now.count()
+
+
+def test_near_dedup_links_fingerprints_too(spark):
+    """Repeats weigh in a fingerprint, not in a set: two texts with equal fingerprints and few common shingles are near."""
+    chant = " ".join(["one two three four five six seven"] * 50)
+    docs = [(1, chant + " but here it ends with words of its own", "en", "s", 1), (2, chant + " while this goes on to something else", "en", "s", 1), (3, "a text that has nothing to do with them", "en", "s", 1)]
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, COLUMNS), "").collect()} == {1, 3}
