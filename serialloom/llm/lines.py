@@ -118,11 +118,11 @@ def open_groups(large: DataFrame, same: DataFrame) -> DataFrame:
     return keep(named.join(several, "key", "left_semi"), "open")
 
 
-def _parities(x: Column) -> list[Column]:
-    """Four words of 64 bits, each bit the parity of how many of the set fall on it: two sets differ in as many members at least as their words in bits."""
-    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(v, 8), F.lit(64)).cast("int"))
-    word = lambda k: F.aggregate(F.filter(x, lambda v: F.pmod(v, F.lit(4)) == k), F.lit(0).cast("long"), lambda w, v: w.bitwiseXOR(bit(v)))
-    return [word(k).alias(f"w{k}") for k in range(4)]
+def _parities(rows: DataFrame, words: int = 16) -> DataFrame:
+    """h1 and that many words of 64 bits, each bit the parity of how many of the set ``x`` fall on it: two sets differ in as many members at least as their words in bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("t", 8), F.lit(64)).cast("int"))
+    word = lambda k: F.coalesce(F.bit_xor(F.when(F.pmod("t", F.lit(words)) == k, bit)), F.lit(0).cast("long"))
+    return rows.select("h1", F.explode("x").alias("t")).groupBy("h1").agg(*[word(k).alias(f"w{k}") for k in range(words)])
 
 
 def across(sets: DataFrame, groups: DataFrame, of: Callable[[Column], Column], similarity: float) -> DataFrame:
@@ -136,8 +136,10 @@ def across(sets: DataFrame, groups: DataFrame, of: Callable[[Column], Column], s
     Pairs meet only where sizes, positions and parities leave room for a link.
     """
     spark = groups.sparkSession
-    rows = keep(groups.select("h1", "c").distinct().join(sets, "h1").select("h1", "c", "n", F.array_distinct(of(F.col("x"))).alias("x")).select("*", *_parities(F.col("x"))), "sets")
-    own = ("h1", "c", "n", "w0", "w1", "w2", "w3")
+    rows = keep(groups.select("h1", "c").distinct().join(sets, "h1").select("h1", "c", "n", F.array_distinct(of(F.col("x"))).alias("x")), "sets")
+    words = keep(_parities(rows), "parities")
+    some = _small(words, _BUCKETS // 16)
+    own = ("h1", "c", "n")
     each = rows.select(*own, F.explode("x").alias("t")).withColumn("bucket", F.pmod("t", F.lit(_BUCKETS)))
     counts = each.groupBy("bucket").agg(F.count("*").alias("m"))
     ranked = each.join(F.broadcast(counts), "bucket").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("s"))
@@ -145,15 +147,15 @@ def across(sets: DataFrame, groups: DataFrame, of: Callable[[Column], Column], s
     firsts = keep(ranked.select(*own, F.posexplode(F.slice(F.col("s.t"), F.lit(1), prefix)).alias("i", "t")), "firsts")
     main = firsts.groupBy("t", "c").agg(F.count("*").alias("k")).groupBy("t").agg(F.max_by("c", F.struct("k", "c")).alias("c0"), F.count("*").alias("k")).filter("k > 1").select("t", "c0")
     met = keep(firsts.join(main, "t"), "met")
-    side = lambda d, k: d.select("t", *[F.col(c).alias(f"{c}{k}") for c in (*own, "i")])
+    side = lambda d, k: d.join(some, "h1").select("t", *[F.col(c).alias(f"{c}{k}") for c in (*own, "i", *words.columns[1:])])
     need = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
     fits = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
-    unlike = sum((F.bit_count(F.col(f"w{k}a").bitwiseXOR(F.col(f"w{k}b"))) for k in range(4)), F.lit(0))
+    unlike = sum((F.bit_count(F.col(f"w{k}a").bitwiseXOR(F.col(f"w{k}b"))) for k in range(len(words.columns) - 1)), F.lit(0))
     fits &= unlike <= F.col("na") + F.col("nb") - 2 * need
     pairs = side(met.filter("c <> c0"), "a").join(side(met, "b"), "t").filter((F.col("ca") != F.col("cb")) & fits)
     pairs = keep(pairs.select(F.least("h1a", "h1b").alias("a"), F.greatest("h1a", "h1b").alias("b")).distinct(), "pairs")
     out = keep(links(rows, pairs, lambda x: x, similarity), "across")
-    for x in (rows, firsts, met, pairs):
+    for x in (rows, words, firsts, met, pairs):
         drop_kept(spark, x)
     return out
 
