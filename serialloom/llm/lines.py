@@ -5,7 +5,9 @@ lower case; blank lines always stay. Equal lines are found by a 128-bit hash.
 The set that stands for a line holds the hashes of its character shingles, the
 ``chars`` characters from each position on; a shorter line is one shingle. The
 range of hashes is cut into ``bins`` equal bins; a band is the ``rows`` least
-hashes of a bin, and lines with an equal band are candidates. Candidates are verified by
+hashes of a bin, and lines with an equal band are candidates. The bands of a line of
+many words are of those shingles only that start a word, which one regular
+expression cuts out; bands choose what is compared, no more. Candidates are verified by
 the exact Jaccard similarity of their sets, links of at least ``similarity``
 go through the union-find, and of each component the line that comes first (by
 doc_id, then place) is kept.
@@ -39,6 +41,9 @@ MOST_ROWS = 1_000_000
 _SALTS = 16
 #: Buckets of shingles whose counts are broadcast, 16 bytes each.
 _BUCKETS = 1 << 20
+#: Starts of words from which on a line's keys are of these only, the bins of their hashes, and how many of a bin make a key.
+_FEW = 30
+_STARTS_BINS, _STARTS_ROWS = 9, 3
 
 
 def _let(x: Column, f) -> Column:
@@ -53,8 +58,8 @@ def shingles(line: Column, chars: int = 9) -> Column:
     return _let(F.encode(line, "UTF-32"), lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(wide)))))
 
 
-def with_bands(rows: DataFrame, hashes: Column, bins: int, rows_of: int) -> DataFrame:
-    """``rows`` and ``keys``: one key for each bin that is not empty, the hash of its ``rows_of`` least values.
+def with_bands(rows: DataFrame, hashes: Column, bins: int, rows_of: int, least: int = 1) -> DataFrame:
+    """``rows`` and ``keys``: one key for each bin of ``least`` values or more, the hash of its ``rows_of`` least values.
 
     The bins' lower ends are sorted in among the hashes, so that a bin is what
     stands between two of them. Where hashes repeat much, repeats go first.
@@ -64,11 +69,33 @@ def with_bands(rows: DataFrame, hashes: Column, bins: int, rows_of: int) -> Data
     head = F.slice("__s", 1, 32)
     marked = marked.withColumn("__s", F.when(F.size(F.array_distinct(head)) < 0.9 * F.size(head), F.sort_array(F.array_distinct("__s"))).otherwise(F.col("__s")))
     placed = marked.select("*", *[F.array_position("__s", F.lit(x)).cast("int").alias(f"__p{b}") for b, x in enumerate(ends)])
-    key = lambda b, n: F.when(n > 0, F.xxhash64(F.lit(b), F.slice("__s", F.col(f"__p{b}") + 1, F.least(n, F.lit(rows_of)))))
+    key = lambda b, n: F.when(n >= least, F.xxhash64(F.lit(b), F.slice("__s", F.col(f"__p{b}") + 1, F.least(n, F.lit(rows_of)))))
+    # beyond 8,000 bytes of code a step (some 12 bins), the JVM does not compile it
     keys = F.array(*[key(b, F.col(f"__p{b + 1}") - F.col(f"__p{b}") - 1) for b in range(bins)])
     return placed.select(*rows.columns, keys.alias("keys"))
 
 
+def starts(line: Column, chars: int = 9) -> Column:
+    """The hashes of those of a line's shingles that start a word, each once."""
+    found = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf"(?s)\s(?=(.{{{chars}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+
+
+def line_keys(lines: DataFrame, chars: int = 9, bins: int = 9, rows: int = 4) -> DataFrame:
+    """``lines`` and keys: of the shingles that start a word where there are many, of all shingles where there are few.
+
+    Lines with ``_FEW`` starts at least, one in 16 characters or more, have keys
+    of their starts only. Starts count from two thirds of that on, so that a
+    line on either side of the border meets its like on the other.
+    """
+    names = lines.columns
+    marked = lines.withColumn("__w", starts(F.col("line"), chars))
+    n = F.size("__w")
+    some = with_bands(marked, F.when(n >= _FEW * 2 // 3, F.col("__w")), _STARTS_BINS, _STARTS_ROWS, _STARTS_ROWS).withColumnRenamed("keys", "__k")
+    every = with_bands(some, F.when((n < _FEW) | (F.length("line") > 16 * n), shingles(F.col("line"), chars)), bins, rows)
+    return every.select(*names, F.array_compact(F.concat("__k", "keys")).alias("keys"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc, th (these two name the document), pos, line (normalised) and h1, h2 of every line that is not blank."""
     line = F.lower(F.trim(F.col("line")))
@@ -79,6 +106,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def one_each(docs: DataFrame, seen: DataFrame, ids: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """h1 and line, once for each h1 of ``ids``: of its places in ``seen`` one is looked up, so that few texts are cut into lines again."""
+    place = F.xxhash64("doc", "th", "pos")
+    of = seen.select("h1", "doc", "th", "pos", place.alias("o")).join(_small(ids, most_rows), "h1", "left_semi")
+    of = of.groupBy("h1").agg(*[F.min_by(c, "o").alias(c) for c in ("doc", "th", "pos")])
+    at = keep(of.groupBy("doc", "th").agg(F.collect_list(F.struct("h1", "pos")).alias("at")).withColumnRenamed("doc", "of_doc"), "places")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
+    met = texts.join(_small(at, most_rows), "th").filter(F.col("doc").eqNullSafe(F.col("of_doc")))
+    met = met.select("at", F.split("text", "\n", -1).alias("parts")).select(F.explode(F.transform("at", lambda a: F.struct(a["h1"].alias("h1"), F.get("parts", a["pos"]).alias("line")))).alias("l"))
+    return met.select("l.h1", F.lower(F.trim("l.line")).alias("line")).dropDuplicates(["h1"])
+
+
 def _small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows; it is a kept table."""
     return F.broadcast(df) if df.count() <= most else df
@@ -208,10 +247,10 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, chars: int = 9, bins:
     """The rows of ``docs`` with the lines that stay as text, and n_lines, n_removed."""
     lines = lines_of(docs)
     # hashes and keys of all lines, worked out in one scan of the texts
-    seen = keep(with_bands(lines, shingles(F.col("line"), chars), bins, rows).drop("line"), "lines")
+    seen = keep(line_keys(lines, chars, bins, rows).drop("line"), "lines")
 
     def sets(ids: DataFrame) -> DataFrame:
-        some = lines.select("h1", "line").join(_small(ids, most_rows), "h1", "left_semi").dropDuplicates(["h1"])
+        some = one_each(docs, seen, ids, most_rows)
         return some.select("h1", F.size(F.array_distinct(shingles(F.col("line"), chars))).alias("n"), F.col("line").alias("x"))
 
     same = similar(seen.select("h1", "keys"), sets, lambda x: shingles(x, chars), similarity, whole)

@@ -356,6 +356,44 @@ def test_bands_find_links_at_the_limit(spark):
     assert len(got) == 5 and all(r.r >= 0.985 for r in got), got
 
 
+def prose_pairs(rng, count, letters, n):
+    """Pairs of lines of words of 1 to that many letters, edited down to a Jaccard of 0.80 to 0.84."""
+    abc, out = "abcdefghijklmnopqrstuvwxyz", []
+    while len(out) < count:
+        x = ""
+        while len(x) < n:
+            x += "".join(rng.choice(abc) for _ in range(rng.randint(1, letters))) + " "
+        x, y = x.strip(), x.strip()
+        likeness = lambda z: len(line_set(x) & line_set(z)) / len(line_set(x) | line_set(z))  # noqa: B023, E731
+        while True:
+            at = rng.randrange(len(y))
+            z = (y[:at] + rng.choice(abc + " ") + y[at + rng.randint(0, 2) :]).strip()
+            if likeness(z) < 0.8:
+                break
+            y = z
+        if likeness(y) <= 0.84:
+            out.append((x, y))
+    return out
+
+
+def test_lines_of_words_meet_by_the_starts_of_words(spark):
+    """Of pairs at the limit, also of lines with about as many words as tell the two kinds of keys apart, at least 0.99 share a key."""
+    rng = random.Random(7)
+    pairs = [(k, *p) for k, (letters, n) in enumerate(((9, 150), (9, 190), (12, 360), (9, 900))) for p in prose_pairs(rng, 150, letters, n)]
+    rows = spark.createDataFrame(pairs, "kind int, a string, b string")
+    one = lines.line_keys(rows.withColumnRenamed("a", "line")).withColumnsRenamed({"line": "a", "keys": "ka", "b": "line"})
+    got = lines.line_keys(one).groupBy("kind").agg(F.avg(F.arrays_overlap("ka", "keys").cast("int")).alias("r")).collect()
+    assert len(got) == 4 and all(r.r >= 0.985 for r in got) and sum(r.r for r in got) >= 4 * 0.99, got
+
+
+def test_lines_of_many_words_are_not_hashed_at_every_position(spark):
+    """What differs behind the first nine letters of each word leaves the keys as they are, but for lines of few words and of very long ones."""
+    of = lambda n, tail: " ".join(f"word{k:05d}{tail}" for k in range(n))
+    rows = [(k, of(n, t)) for k, (n, t) in enumerate(((60, "abc"), (60, "xyz"), (12, "abc"), (12, "xyz"), (60, "abc" * 5), (60, "xyz" * 5)))]
+    keys = {r.id: sorted(r["keys"]) for r in lines.line_keys(spark.createDataFrame(rows, "id int, line string")).collect()}
+    assert keys[0] == keys[1] and keys[2] != keys[3] and keys[4] != keys[5] and 6 <= len(keys[0]) <= 9
+
+
 def test_line_dedup_is_native(spark, odd_docs):
     found = []
     keep = lines.keep
